@@ -158,7 +158,7 @@ def wide_orders(spark, sf, value):
 
 
 def q_season_wide_mean(spark, sf):
-    price = wide_orders(spark, sf, F.avg("o_totalprice"))
+    price = wide_orders(spark, sf, F.avg(F.col("o_totalprice") / F.pi()))
     count = wide_orders(spark, sf, F.count("o_orderkey").cast("double"))
     return shown(
         climate_season(
@@ -169,7 +169,7 @@ def q_season_wide_mean(spark, sf):
 
 SEASON_SQL = f"""WITH c AS (
   SELECT o_custkey AS grid_ID, o_orderpriority AS tag, month(o_orderdate) AS m,
-    avg(o_totalprice) AS price, CAST(count(o_orderkey) AS DOUBLE) AS n FROM orders GROUP BY ALL),
+    avg(o_totalprice / pi()) AS price, CAST(count(o_orderkey) AS DOUBLE) AS n FROM orders GROUP BY ALL),
   r AS (SELECT grid_ID, tag, avg(price) FILTER (m BETWEEN 4 AND 9) AS price,
     avg(n) FILTER (m BETWEEN 4 AND 9) AS n FROM c GROUP BY ALL)
 SELECT grid_ID, {rounded('avg(price) AS temperature_2m_mean', 'avg(n) AS precipitation_sum')}

@@ -93,13 +93,16 @@ def latencies(spark, sf):
 
 
 def q_bucket_histogram(spark, sf):
-    return shown(bucket_histogram(latencies(spark, sf), "latency", LATENCY_BUCKETS, ["event_type"]))
+    rows = bucket_histogram(latencies(spark, sf), "latency", LATENCY_BUCKETS, ["event_type"])
+    bound = F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("string"))
+    return rows.withColumn("le", bound)
 
 
 EDGES = "(VALUES (0.05::DOUBLE), (0.1), (0.25), (0.5), (1.0), (2.5), (5.0), ('inf'::DOUBLE)) b(le)"
 HIST = f"""h AS (SELECT event_type, le, count(*) FILTER (value / 97 <= le) AS count
     FROM events, {EDGES} GROUP BY ALL)"""
-HISTOGRAM_SQL = f"WITH {HIST} SELECT event_type, le, count FROM h"
+HISTOGRAM_SQL = f"""WITH {HIST} SELECT event_type,
+  CASE WHEN isinf(le) THEN '+Inf' ELSE CAST(le AS VARCHAR) END AS le, count FROM h"""
 
 
 def q_p95(spark, sf):
