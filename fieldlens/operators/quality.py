@@ -245,7 +245,7 @@ def check_contract(
         F.count(F.lit(1)).alias("_rows"),
         *[F.count(F.col(name)).alias(f"_n_{name}") for name, *_ in present],
         *[
-            F.count_if(~F.col(name).cast("double").between(lo, hi)).alias(f"_bad_{name}")
+            F.count_if(~F.col(name).try_cast("double").between(lo, hi)).alias(f"_bad_{name}")
             for name, lo, hi, _ in present
         ],
     )
