@@ -10,6 +10,7 @@ from checks.tables import (
     EVENTS,
     METRICS,
     PREDICTIONS,
+    events_with_k,
     load,
     predictions,
     rounded,
@@ -37,9 +38,9 @@ BINS = 10
 
 
 def wide_events(spark, sf):
-    k = F.get_json_object("props", "$.k").cast("double")
+    k = F.col("k")
     calm = F.when(F.col("event_type") != "error", F.col("value"))
-    return load(spark, sf, "events").select(
+    return events_with_k(spark, sf).select(
         F.col("event_type").alias("field_id"),
         F.concat(F.lit("F"), "user_id").alias("user"),
         "ts",

@@ -53,18 +53,24 @@ def scratch(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
+def events_with_k(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with the number in `props` as `k`."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("double")
+    return load(spark, sf, "events").withColumn("k", k)
+
+
 # --- events as soil readings -----------------------------------------------------------
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("double")
+    k = F.col("k")
     mode = (
         F.when(F.col("event_type") == "error", "DROPOUT")
         .when(F.col("event_type") == "signup", "DRIFT")
         .when(F.col("event_type") == "purchase", "BURST")
         .otherwise("NONE")
     )
-    return load(spark, sf, "events").select(
+    return events_with_k(spark, sf).select(
         F.concat(F.lit("F"), "user_id").alias("field_id"),
         F.concat(F.lit("D"), "user_id", F.lit("-"), "event_type").alias("device_id"),
         F.unix_millis("ts").alias("timestamp"),
@@ -124,8 +130,8 @@ WEATHER = """weather AS (
 
 
 def scenes(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("double")
-    return load(spark, sf, "events").select(
+    k = F.col("k")
+    return events_with_k(spark, sf).select(
         F.concat(F.lit("F"), "user_id").alias("field_id"),
         F.format_string("S%012d", "event_id").alias("scene_id"),
         F.unix_millis("ts").alias("timestamp"),
@@ -154,10 +160,10 @@ SCENES = f"""{EVENTS}, scenes AS (
 
 
 def daily_climate(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("double")
+    k = F.col("k")
     calm = F.when(F.col("event_type") != "error", F.col("value"))
     return (
-        load(spark, sf, "events")
+        events_with_k(spark, sf)
         .groupBy(
             F.concat(F.lit("F"), "user_id").alias("field_id"),
             F.date_trunc("day", "ts").alias("date"),

@@ -44,7 +44,10 @@ def psi_edges(
     n_bins: int = 10,
     approximate: bool = False,
 ) -> DataFrame:
-    """Quantile edges per key, duplicates removed. `approximate` trades exactness for one pass."""
+    """Quantile edges per key, duplicates removed. `approximate` trades exactness for one pass.
+
+    The exact form also returns `below`, the number of reference values smaller than each edge.
+    """
     probs = [i / n_bins for i in range(n_bins + 1)]
     if approximate:
         x = F.col(value).cast("double")
@@ -58,9 +61,14 @@ def psi_edges(
                 ),
             )
         )
-    else:
-        edges = exact_quantiles(reference, keys, value, probs, out="edges")
-    return edges.withColumn("edges", F.array_distinct("edges"))
+        return edges.withColumn("edges", F.array_distinct("edges"))
+    found = exact_quantiles(reference, keys, value, probs)
+    pairs = F.array_distinct(
+        F.zip_with("quantiles", "below", lambda q, b: F.struct(q.alias("edge"), b.alias("below")))
+    )
+    return found.withColumn("_pairs", pairs).select(
+        *keys, "n_values", F.col("_pairs.edge").alias("edges"), F.col("_pairs.below").alias("below")
+    )
 
 
 def bin_index(value: Column, edges: Column, n_bins: int) -> Column:
@@ -82,12 +90,12 @@ def bin_index(value: Column, edges: Column, n_bins: int) -> Column:
 
 def bin_counts(
     df: DataFrame, edges: DataFrame, keys: Sequence[str], value: str = "value",
-    edge_keys: Sequence[str] = ("feature",), n_bins: int = 10,
+    edge_keys: Sequence[str] = ("feature",), n_bins: int = 10, how: str = "inner",
 ) -> DataFrame:
     """Counts per bin as columns `bin_0 …`, with `n_current` counting values outside as well."""
     x = F.col(value).cast("double")
     kept = df.filter(x.isNotNull() & ~F.isnan(x))
-    binned = kept.join(edges.select(*edge_keys, "edges"), list(edge_keys)).withColumn(
+    binned = kept.join(edges.select(*edge_keys, "edges"), list(edge_keys), how).withColumn(
         "_bin", bin_index(x, F.col("edges"), n_bins)
     )
     return binned.groupBy(*keys).agg(
@@ -103,15 +111,30 @@ def psi_profile(
     n_bins: int = 10,
     approximate: bool = False,
 ) -> DataFrame:
-    """Edges and bin counts of the reference: one short row per key, meant to be stored."""
-    edges = small_side(psi_edges(reference, keys, value, n_bins, approximate))
-    counts = bin_counts(reference, edges, keys, value, keys, n_bins)
-    bins = [F.col(f"bin_{i}") for i in range(n_bins)]
-    return edges.join(counts, list(keys)).select(
-        *keys,
-        "edges",
-        F.col("n_values").alias("n_reference"),
-        F.array(*bins).alias("reference_counts"),
+    """Edges and bin counts of the reference: one short row per key.
+
+    Computed now, and kept in the checkpoint folder, because it is used over and over; it can also
+    be stored as a table. The exact form takes its counts from the running counts that located the
+    edges, so the reference is read once.
+    """
+    edges = psi_edges(reference, keys, value, n_bins, approximate)
+    if approximate:
+        edges = small_side(edges)
+        counts = bin_counts(reference, edges, keys, value, keys, n_bins)
+        bins = F.array(*[F.col(f"bin_{i}") for i in range(n_bins)])
+        edges = edges.join(counts, list(keys)).withColumn("reference_counts", bins)
+    else:
+        # bin i holds below[i + 1] - below[i] values; the last one also those equal to its end
+        ends = F.when(F.size("below") > 1, F.slice("below", 2, F.size("below") - 2)).otherwise(
+            F.array().cast("array<bigint>")
+        )
+        closed = F.concat(ends, F.array("n_values"))
+        starts = F.slice("below", 1, F.greatest(F.size("below") - 1, F.lit(1)))
+        edges = edges.withColumn(
+            "reference_counts", F.zip_with(closed, starts, lambda end, start: end - start)
+        )
+    return small_side(
+        edges.select(*keys, "edges", F.col("n_values").alias("n_reference"), "reference_counts")
     )
 
 
@@ -128,15 +151,16 @@ def psi(
     profile_keys: Sequence[str] = ("feature",),
     n_bins: int = 10,
     min_current: int = MIN_CURRENT,
+    how: str = "inner",
 ) -> DataFrame:
-    """PSI of the current values per `keys` against the stored reference profile.
+    """PSI of the current values per `keys` against the reference profile.
 
-    0.0 when either side is too small; current values are reduced to bin counts before the
-    shuffle, so the group size does not matter.
+    0.0 when either side is too small. Current values are reduced to bin counts before the
+    shuffle, so the group size does not matter. With `how="left"` groups without a reference stay
+    and have a null PSI.
     """
-    profile = small_side(profile)
-    counts = bin_counts(current, profile, keys, value, profile_keys, n_bins)
-    joined = counts.join(profile, list(profile_keys))
+    counts = bin_counts(current, profile, keys, value, profile_keys, n_bins, how)
+    joined = counts.join(profile, list(profile_keys), how)
     total = F.lit(0.0)
     for i in range(n_bins):
         cur = _share(F.col(f"bin_{i}"), F.col("n_current"))
@@ -144,12 +168,8 @@ def psi(
         term = (cur - ref) * F.ln(cur / ref)
         total = total + F.when(F.size("edges") - 1 > i, term).otherwise(0.0)
     enough = (F.col("n_reference") >= MIN_REFERENCE) & (F.col("n_current") >= min_current)
-    return joined.select(
-        *keys,
-        "n_reference",
-        "n_current",
-        F.when(enough, total).otherwise(F.lit(0.0)).alias("psi"),
-    )
+    score = F.when(F.col("n_reference").isNotNull(), F.when(enough, total).otherwise(F.lit(0.0)))
+    return joined.select(*keys, "n_reference", "n_current", score.alias("psi"))
 
 
 def rolling_buffer(
@@ -195,14 +215,11 @@ def drift_scores(
     left out.
     """
     keys = [field, "feature"]
-    scored = psi(profile, buffer, keys, n_bins=n_bins)
-    sizes = buffer.groupBy(*keys).agg(F.count("value").alias("n_buffer"))
-    score = F.when(F.col("n_buffer") < MIN_CURRENT, F.lit(0.0)).otherwise(F.round("psi", 4))
-    return (
-        sizes.join(scored.select(*keys, "psi"), keys, "left")
-        .select(*keys, "n_buffer", score.alias("psi"))
-        .filter("psi is not null")
-    )
+    scored = psi(profile, buffer, keys, n_bins=n_bins, how="left")
+    score = F.when(F.col("n_current") < MIN_CURRENT, F.lit(0.0)).otherwise(F.round("psi", 4))
+    return scored.select(
+        *keys, F.col("n_current").alias("n_buffer"), score.alias("psi")
+    ).filter("psi is not null")
 
 
 def drift_level(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldlens.session import small_side
+
 # fixed values: gates
 RMSE_GATE = 2000.0
 MIN_GAIN = 0.02
@@ -52,13 +54,12 @@ def season_of(ts: Column | str) -> Column:
 
 
 def crop_mean_fit(train: DataFrame, crop: str = "crop_type", y: str = "yield_kg_per_ha"):
-    """Mean target per crop, plus the overall mean under a null crop. One pass."""
-    means = train.groupBy(crop).agg(
-        F.sum(y).alias("_sum"), F.count(y).alias("_n"), F.avg(y).alias("mean_target")
-    )
-    overall = means.agg(F.try_divide(F.sum("_sum"), F.sum("_n")).alias("mean_target"))
-    per_crop = means.filter(F.col(crop).isNotNull()).select(crop, "mean_target")
-    return per_crop.unionByName(overall.select(F.lit(None).cast("string").alias(crop), "mean_target"))
+    """Mean target per crop, plus the overall mean under a null crop; one pass, computed now."""
+    means = train.groupBy(crop).agg(F.sum(y).alias("_sum"), F.count(y).alias("_n"))
+    mean = F.try_divide(F.sum("_sum"), F.sum("_n")).alias("mean_target")
+    per_crop = means.filter(F.col(crop).isNotNull()).groupBy(crop).agg(mean)
+    overall = means.agg(mean).select(F.lit(None).cast("string").alias(crop), "mean_target")
+    return small_side(per_crop.unionByName(overall))
 
 
 def crop_mean_predict(
@@ -90,20 +91,13 @@ def range_violations(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def summarise(
     df: DataFrame, y: str = "yield_kg_per_ha", year: str = "year", field: str = "field_id"
 ) -> DataFrame:
-    """Row count, target range, years and number of fields, from per-(year, field) partials."""
-    partial = df.groupBy(year, field).agg(
-        F.count(F.lit(1)).alias("n"), F.min(y).alias("lo"), F.max(y).alias("hi")
-    )
-    per_field = partial.groupBy(field).agg(
-        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.collect_set(year).alias("years"),
-    )
-    return per_field.agg(
-        F.sum("n").alias("n_rows"),
-        F.min("lo").alias("min_target"),
-        F.max("hi").alias("max_target"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("years")))).alias("years"),
-        F.count(field).alias("n_fields"),
+    """Row count, target range, years and number of fields."""
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min(y).alias("min_target"),
+        F.max(y).alias("max_target"),
+        F.sort_array(F.collect_set(year)).alias("years"),
+        F.count_distinct(field).alias("n_fields"),
     )
 
 

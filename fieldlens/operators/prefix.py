@@ -7,32 +7,55 @@ decide only how even the ranges are, never the result.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _with_range(df: DataFrame, cuts: str, order: str, ranges: int) -> DataFrame:
+    """Adds `_range`, the number of cuts below the value, by halving: log2(ranges) comparisons.
+
+    Each step is a plain column, so the search stays in generated code.
+    """
+    df, step = df.withColumn("_range", F.lit(0)), ranges // 2
+    while step:
+        cut = F.get(cuts, F.col("_range") + (step - 1))
+        df = df.withColumn(
+            "_range", F.col("_range") + F.when(cut < F.col(order), step).otherwise(0)
+        )
+        step //= 2
+    return df
+
+
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     sums: Mapping[str, str],
     ranges: int = 64,
+    needed: Callable[[Column, Column, Column], Column] | None = None,
 ) -> DataFrame:
     """Inclusive running sums of `sums` (output -> input column) by `order` within `keys`.
 
-    `df` must hold one row per (keys, order) with a double `order`. Adds `<output>_total`, the sum
-    over the whole group.
+    `df` must hold one row per (keys, order) with a double `order`; the summed columns are counts.
+    Adds `<output>_total`, the sum over the whole group, and `_center`, a value near the middle.
+
+    `ranges` is a power of two. `needed(before, after, total)` of the first sum limits the result to the ranges that matter;
+    the rows of all other ranges are dropped before they are sorted.
     """
-    keys = list(keys)
+    keys, first = list(keys), next(iter(sums))
     probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = df.groupBy(*keys).agg(
+    # counts are never negative: naming all of them here only keeps this branch's columns equal to
+    # the other's, so that both read one and the same shuffle
+    same_columns = reduce(lambda a, b: a & b, [F.col(src) >= 0 for src in sums.values()])
+    cuts = df.filter(same_columns).groupBy(*keys).agg(
         F.percentile_approx(order, probs, F.lit(ranges * 50)).alias("_cuts")
     )
-    ranged = df.join(cuts, keys).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda cut: cut < F.col(order)))
-    ).drop("_cuts")
+    ranged = _with_range(df.filter(same_columns).join(cuts, keys), "_cuts", order, ranges).select(
+        *df.columns, "_range", F.get("_cuts", F.lit(ranges // 2 - 1)).alias("_center")
+    )
 
     by_range = Window.partitionBy(*keys).orderBy("_range")
     before = by_range.rowsBetween(Window.unboundedPreceding, -1)
@@ -43,18 +66,23 @@ def running_sums(
     offsets = totals.select(
         *keys,
         "_range",
+        f"_sum_{first}",
         *[
             F.coalesce(F.sum(f"_sum_{out}").over(before), F.lit(0)).alias(f"_before_{out}")
             for out in sums
         ],
         *[F.sum(f"_sum_{out}").over(whole).alias(f"{out}_total") for out in sums],
     )
+    if needed is not None:
+        start = F.col(f"_before_{first}")
+        after = start + F.col(f"_sum_{first}")
+        offsets = offsets.filter(needed(start, after, F.col(f"{first}_total")))
     inside = (
         Window.partitionBy(*keys, "_range")
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = ranged.join(offsets, [*keys, "_range"])
+    joined = ranged.join(offsets.drop(f"_sum_{first}"), [*keys, "_range"])
     result = joined.withColumns(
         {
             out: F.sum(src).over(inside) + F.col(f"_before_{out}")
@@ -82,27 +110,45 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probs: Sequence[float],
-    out: str = "quantiles",
     ranges: int = 64,
 ) -> DataFrame:
-    """Linear-interpolated quantiles per group, with the group size as `n_values`."""
+    """Linear-interpolated quantiles per group.
+
+    Returns the group size `n_values`, the array `quantiles`, and the array `below`: how many
+    values are smaller than each quantile.
+    """
     keys = list(keys)
-    ranked = running_sums(value_counts(df, keys, value), keys, "value", {"upto": "n"}, ranges)
+
+    def position(total: Column, p: float) -> Column:
+        return (total - 1) * F.lit(float(p))
+
+    def ranks(total: Column) -> list[Column]:
+        return [r for p in probs for r in (F.floor(position(total, p)), F.ceil(position(total, p)))]
+
+    def holds_a_rank(start: Column, after: Column, total: Column) -> Column:
+        return reduce(lambda a, b: a | b, [(start <= r) & (r < after) for r in ranks(total)])
+
+    counts = value_counts(df, keys, value)
+    ranked = running_sums(counts, keys, "value", {"upto": "n"}, ranges, holds_a_rank)
     first = F.col("upto") - F.col("n")
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank < F.col("upto")), F.col("value")))
+    def at(rank: Column, what: Column) -> Column:
+        return F.max(F.when((first <= rank) & (rank < F.col("upto")), what))
 
-    aggregates, columns = [], []
+    aggregates, quantiles, below = [], [], []
     for i, p in enumerate(probs):
-        position = (F.col("upto_total") - 1) * F.lit(float(p))
+        low, high = F.floor(position(F.col("upto_total"), p)), F.ceil(position(F.col("upto_total"), p))
         aggregates += [
-            at(F.floor(position)).alias(f"_lo{i}"),
-            at(F.ceil(position)).alias(f"_hi{i}"),
+            at(low, F.col("value")).alias(f"_lo{i}"),
+            at(high, F.col("value")).alias(f"_hi{i}"),
+            at(low, first).alias(f"_first{i}"),
+            at(low, F.col("upto")).alias(f"_upto{i}"),
         ]
-        whole = (F.col("n_values") - 1) * F.lit(float(p))
-        columns.append(
-            interpolate(F.col(f"_lo{i}"), F.col(f"_hi{i}"), whole - F.floor(whole))
-        )
+        here = position(F.col("n_values"), p)
+        edge = interpolate(F.col(f"_lo{i}"), F.col(f"_hi{i}"), here - F.floor(here))
+        quantiles.append(edge)
+        below.append(F.when(edge > F.col(f"_lo{i}"), F.col(f"_upto{i}")).otherwise(F.col(f"_first{i}")))
     found = ranked.groupBy(*keys).agg(F.max("upto_total").alias("n_values"), *aggregates)
-    return found.select(*keys, "n_values", F.array(*columns).alias(out))
+    return found.select(
+        *keys, "n_values", F.array(*quantiles).alias("quantiles"), F.array(*below).alias("below")
+    )

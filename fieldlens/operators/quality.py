@@ -315,10 +315,10 @@ def parse_json(
 ) -> DataFrame:
     """Adds `_row` (parsed) and `_error` (null when usable) to raw JSON text."""
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    parsed = raw.withColumn(
-        "_row",
-        F.from_json(value, wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}),
-    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    # a generated column is computed once, whatever is selected or filtered from it afterwards
+    once = F.explode(F.array(F.from_json(value, wide, options)))
+    parsed = raw.select("*", once.alias("_row"))
     problem = F.when(
         F.col("_row").isNull() | F.col("_row._corrupt_record").isNotNull(), "malformed_json"
     )

@@ -46,9 +46,14 @@ def flatten_power(
     )
 
 
+def _parsed_once(value: str, shape: str) -> Column:
+    """The document as `_doc`; a generated column is computed once for all its later uses."""
+    return F.explode(F.array(F.from_json(value, shape))).alias("_doc")
+
+
 def _forecast(docs: DataFrame, value: str, mapping: Mapping[str, str]) -> DataFrame:
     arrays = ", ".join(f"{source}: array<double>" for source in mapping)
-    return docs.withColumn("_doc", F.from_json(value, FORECAST_DOC.format(arrays=arrays)))
+    return docs.select("*", _parsed_once(value, FORECAST_DOC.format(arrays=arrays)))
 
 
 def flatten_forecast(
@@ -103,7 +108,7 @@ def flatten_station(
     Temperature is the maximum, else the minimum (0 degrees is a value); no rain entry means 0.
     `stations` maps station_id to field_id; a station that is not listed belongs to `unknown`.
     """
-    parsed = docs.select(station, F.from_json(value, STATION_DOC).alias("_doc"))
+    parsed = docs.select(station, _parsed_once(value, STATION_DOC))
     results = F.coalesce(
         F.col("_doc.results"),
         F.array().cast("array<struct<datatype: string, value: double>>"),

@@ -37,18 +37,24 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
-def write_daily(daily: DataFrame, path: str) -> None:
+def write_daily(
+    daily: DataFrame, path: str, partition_by: Sequence[str] = ("field_id", "year")
+) -> None:
     """Daily climate by field and year.
 
     Rows of one (field, year) are brought together before writing: a day has one row, so that is
-    at most 366 rows, and each partition gets one file.
+    at most 366 rows, and each partition gets one file. With very many fields use `("year",)`:
+    each year is then written as files sorted by field, whose statistics still prune by field.
     """
+    rows = daily.withColumn("year", F.year("date"))
+    if "field_id" in partition_by:
+        rows = rows.repartition("field_id", "year")
+    else:
+        rows = rows.repartitionByRange("year", "field_id").sortWithinPartitions("year", "field_id")
     (
-        daily.withColumn("year", F.year("date"))
-        .repartition("field_id", "year")
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("field_id", "year")
+        .partitionBy(*partition_by)
         .parquet(path)
     )
 

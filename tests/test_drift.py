@@ -18,6 +18,7 @@ from fieldlens.operators.drift import (
     rolling_buffer,
 )
 from fieldlens.operators.prefix import exact_quantiles, running_sums
+from fieldlens.operators.drift import bin_counts
 from fieldlens.operators.reports import category_drift, column_drift, numeric_drift, performance_drift
 
 PROBS = [i / 10 for i in range(11)]
@@ -63,7 +64,7 @@ def test_running_sums_any_number_of_ranges(spark):
         F.lit("k").alias("k"), (F.col("id") * F.col("id")).cast("double").alias("v"),
         F.col("id").alias("n"),
     )
-    for ranges in (2, 7, 64):
+    for ranges in (2, 8, 64):
         got = running_sums(df, ["k"], "v", {"s": "n"}, ranges).orderBy("v").collect()
         assert [r.s for r in got] == list(np.cumsum(range(200)))
         assert {r.s_total for r in got} == {19900}
@@ -106,6 +107,19 @@ def test_psi_separates_shifted(spark):
     assert psi(profile, long(spark, a=far)).first().psi > 0.5
 
 
+def test_profile_counts_equal_a_recount(spark):
+    rng = np.random.default_rng(3)
+    ref = long(spark, a=rng.normal(0, 1, 333), b=rng.integers(0, 5, 200), c=[1.0] * 12, d=[1.0, 2.0])
+    profile = psi_profile(ref)
+    recount = {r.feature: r for r in bin_counts(ref, profile, ["feature"]).collect()}
+    for r in profile.collect():
+        bins = len(r.edges) - 1
+        assert r.n_reference == recount[r.feature].n_current
+        assert list(r.reference_counts[:bins]) == [recount[r.feature][f"bin_{i}"] for i in range(bins)]
+        if bins:
+            assert sum(r.reference_counts[:bins]) == r.n_reference
+
+
 def test_constant_reference_has_one_edge(spark):
     assert psi_edges(long(spark, a=[2.0] * 20)).first().edges == [2.0]
     rough = psi_edges(long(spark, a=range(100)), approximate=True).first()

@@ -53,6 +53,16 @@ def test_daily_partitions_prune(spark, tmp_path):
     assert "ReadSchema: struct<T2M_MAX:double>" in text
 
 
+def test_daily_by_year_only(spark, tmp_path):
+    path = str(tmp_path / "daily")
+    df = spark.createDataFrame(
+        [(datetime(y, 5, 1), 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, f"F{i}")
+         for y in (2022, 2023) for i in range(20)], DAILY_CLIMATE)
+    t.write_daily(df, path, ["year"])
+    got = t.read_daily(spark, path).filter("field_id = 'F7' and year = 2023")
+    assert got.count() == 1 and "PushedFilters: [IsNotNull(field_id), EqualTo(field_id,F7)]" in plan(got)
+
+
 def test_fields_csv(spark, tmp_path):
     (tmp_path / "fields.csv").write_text(
         "field_id,name,lat,lon,crop_type,region,area_ha,soil_type\n"
