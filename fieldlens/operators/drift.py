@@ -92,7 +92,7 @@ def bin_counts(
     df: DataFrame, edges: DataFrame, keys: Sequence[str], value: str = "value",
     edge_keys: Sequence[str] = ("feature",), n_bins: int = 10, how: str = "inner",
 ) -> DataFrame:
-    """Counts per bin as columns `bin_0 …`, with `n_current` counting values outside as well."""
+    """Counts per bin as the array `bins`; `n_current` counts the values outside as well."""
     x = F.col(value).cast("double")
     kept = df.filter(x.isNotNull() & ~F.isnan(x))
     binned = kept.join(edges.select(*edge_keys, "edges"), list(edge_keys), how).withColumn(
@@ -100,7 +100,7 @@ def bin_counts(
     )
     return binned.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_current"),
-        *[F.count_if(F.col("_bin") == i).alias(f"bin_{i}") for i in range(n_bins)],
+        F.array(*[F.count_if(F.col("_bin") == i) for i in range(n_bins)]).alias("bins"),
     )
 
 
@@ -121,8 +121,7 @@ def psi_profile(
     if approximate:
         edges = small_side(edges)
         counts = bin_counts(reference, edges, keys, value, keys, n_bins)
-        bins = F.array(*[F.col(f"bin_{i}") for i in range(n_bins)])
-        edges = edges.join(counts, list(keys)).withColumn("reference_counts", bins)
+        edges = edges.join(counts, list(keys)).withColumnRenamed("bins", "reference_counts")
     else:
         # bin i holds below[i + 1] - below[i] values; the last one also those equal to its end
         ends = F.when(F.size("below") > 1, F.slice("below", 2, F.size("below") - 2)).otherwise(
@@ -161,12 +160,14 @@ def psi(
     """
     counts = bin_counts(current, profile, keys, value, profile_keys, n_bins, how)
     joined = counts.join(profile, list(profile_keys), how)
-    total = F.lit(0.0)
-    for i in range(n_bins):
-        cur = _share(F.col(f"bin_{i}"), F.col("n_current"))
-        ref = _share(F.get("reference_counts", F.lit(i)), F.col("n_reference"))
-        term = (cur - ref) * F.ln(cur / ref)
-        total = total + F.when(F.size("edges") - 1 > i, term).otherwise(0.0)
+    # a few numbers per group from here on; bins beyond the last edge pair up with nothing
+    used = F.slice("reference_counts", 1, F.size("edges") - 1)
+    terms = F.zip_with(
+        F.transform("bins", lambda c: _share(c, F.col("n_current"))),
+        F.transform(used, lambda r: _share(r, F.col("n_reference"))),
+        lambda cur, ref: F.coalesce((cur - ref) * F.ln(cur / ref), F.lit(0.0)),
+    )
+    total = F.aggregate(terms, F.lit(0.0), lambda acc, term: acc + term)
     enough = (F.col("n_reference") >= MIN_REFERENCE) & (F.col("n_current") >= min_current)
     score = F.when(F.col("n_reference").isNotNull(), F.when(enough, total).otherwise(F.lit(0.0)))
     return joined.select(*keys, "n_reference", "n_current", score.alias("psi"))

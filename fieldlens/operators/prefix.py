@@ -118,37 +118,57 @@ def exact_quantiles(
     values are smaller than each quantile.
     """
     keys = list(keys)
+    shares = F.array(*[F.lit(float(p)) for p in probs])
 
-    def position(total: Column, p: float) -> Column:
-        return (total - 1) * F.lit(float(p))
-
-    def ranks(total: Column) -> list[Column]:
-        return [r for p in probs for r in (F.floor(position(total, p)), F.ceil(position(total, p)))]
+    def ranks(total: Column) -> Column:
+        """0-based ranks on both sides of every quantile's position."""
+        sides = F.transform(
+            shares,
+            lambda p: F.array(F.floor((total - 1) * p), F.ceil((total - 1) * p)),
+        )
+        return F.array_distinct(F.flatten(sides))
 
     def holds_a_rank(start: Column, after: Column, total: Column) -> Column:
-        return reduce(lambda a, b: a | b, [(start <= r) & (r < after) for r in ranks(total)])
+        return F.exists(ranks(total), lambda r: (start <= r) & (r < after))
 
     counts = value_counts(df, keys, value)
     ranked = running_sums(counts, keys, "value", {"upto": "n"}, ranges, holds_a_rank)
-    first = F.col("upto") - F.col("n")
-
-    def at(rank: Column, what: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank < F.col("upto")), what))
-
-    aggregates, quantiles, below = [], [], []
-    for i, p in enumerate(probs):
-        low, high = F.floor(position(F.col("upto_total"), p)), F.ceil(position(F.col("upto_total"), p))
-        aggregates += [
-            at(low, F.col("value")).alias(f"_lo{i}"),
-            at(high, F.col("value")).alias(f"_hi{i}"),
-            at(low, first).alias(f"_first{i}"),
-            at(low, F.col("upto")).alias(f"_upto{i}"),
-        ]
-        here = position(F.col("n_values"), p)
-        edge = interpolate(F.col(f"_lo{i}"), F.col(f"_hi{i}"), here - F.floor(here))
-        quantiles.append(edge)
-        below.append(F.when(edge > F.col(f"_lo{i}"), F.col(f"_upto{i}")).otherwise(F.col(f"_first{i}")))
-    found = ranked.groupBy(*keys).agg(F.max("upto_total").alias("n_values"), *aggregates)
-    return found.select(
-        *keys, "n_values", F.array(*quantiles).alias("quantiles"), F.array(*below).alias("below")
+    # at most two rows per quantile and group are left
+    picked = (
+        ranked.withColumn("start", F.col("upto") - F.col("n"))
+        .filter(holds_a_rank(F.col("start"), F.col("upto"), F.col("upto_total")))
+        .groupBy(*keys)
+        .agg(
+            F.max("upto_total").alias("n_values"),
+            F.collect_list(F.struct("start", "upto", "value")).alias("_picked"),
+        )
+    )
+
+    def holder(rank: Column) -> Column:
+        found = F.filter("_picked", lambda s: (s["start"] <= rank) & (rank < s["upto"]))
+        return F.get(found, F.lit(0))
+
+    places = F.transform(shares, lambda p: (F.col("n_values") - 1) * p)
+    sides = F.transform(
+        places,
+        lambda h: F.struct(
+            (h - F.floor(h)).alias("part"),
+            holder(F.floor(h)).alias("low"),
+            holder(F.ceil(h))["value"].alias("high"),
+        ),
+    )
+    edges = F.transform(
+        sides,
+        lambda s: F.struct(
+            interpolate(s["low"]["value"], s["high"], s["part"]).alias("edge"), s["low"].alias("low")
+        ),
+    )
+    below = F.transform(
+        "_edges",
+        lambda e: F.when(e["edge"] > e["low"]["value"], e["low"]["upto"]).otherwise(
+            e["low"]["start"]
+        ),
+    )
+    return picked.withColumn("_edges", edges).select(
+        *keys, "n_values", F.col("_edges.edge").alias("quantiles"), below.alias("below")
     )

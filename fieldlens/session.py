@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # call-site capture costs milliseconds per column expression while a plan is built
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
