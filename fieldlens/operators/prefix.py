@@ -13,6 +13,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlens.session import small_side
+
+
+def number_array(numbers: Sequence[float]) -> Column:
+    """A constant array, built as one expression."""
+    return F.expr(f"array({', '.join(f'{float(x)!r}D' for x in numbers)})")
+
+
+def snap_to_cuts(
+    df: DataFrame, keys: Sequence[str], value: str, cells: int, max_groups: int = 100_000
+) -> DataFrame:
+    """Replace each value by the upper end of its cell, with `cells` approximate-quantile cells
+    per group. One pass finds the cells; their table is broadcast if its size allows."""
+    probs = number_array([i / cells for i in range(1, cells + 1)])
+    cuts = small_side(
+        df.groupBy(*keys).agg(
+            F.percentile_approx(value, probs, F.lit(cells * 10)).alias("_cuts")
+        ),
+        max_groups,
+    )
+    ranged = _with_range(df.join(cuts, list(keys)), "_cuts", value, cells)
+    return ranged.withColumn(value, F.get("_cuts", F.col("_range"))).drop("_cuts", "_range")
+
 
 def _with_range(df: DataFrame, cuts: str, order: str, ranges: int) -> DataFrame:
     """Adds `_range`, the number of cuts below the value, by halving: log2(ranges) comparisons.
@@ -46,7 +69,7 @@ def running_sums(
     the rows of all other ranges are dropped before they are sorted.
     """
     keys, first = list(keys), next(iter(sums))
-    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    probs = number_array([i / ranges for i in range(1, ranges)])
     # counts are never negative: naming all of them here only keeps this branch's columns equal to
     # the other's, so that both read one and the same shuffle
     same_columns = reduce(lambda a, b: a & b, [F.col(src) >= 0 for src in sums.values()])
@@ -118,7 +141,7 @@ def exact_quantiles(
     values are smaller than each quantile.
     """
     keys = list(keys)
-    shares = F.array(*[F.lit(float(p)) for p in probs])
+    shares = number_array(probs)
 
     def ranks(total: Column) -> Column:
         """0-based ranks on both sides of every quantile's position."""

@@ -226,6 +226,16 @@ def test_numeric_drift_matches_numpy(spark):
     assert same.ks == 0.0 and same.p_value == 1.0 and not same.drifted
 
 
+def test_numeric_drift_on_cells_is_close(spark):
+    rng = np.random.default_rng(6)
+    ref = spark.createDataFrame([(float(v),) for v in rng.normal(0, 1, 3000)], "x double")
+    cur = spark.createDataFrame([(float(v),) for v in rng.normal(0.3, 1, 2000)], "x double")
+    exact, rough = numeric_drift(ref, cur, ["x"]).first(), numeric_drift(ref, cur, ["x"], 128).first()
+    assert (rough.n_ref, rough.n_cur) == (3000, 2000)
+    assert rough.ks == pytest.approx(exact.ks, abs=0.01) and rough.ks <= exact.ks + 1e-12
+    assert rough.wasserstein == pytest.approx(exact.wasserstein, abs=0.03)
+
+
 def test_category_and_dataset_drift(frame):
     ref = frame("c string, x double", *[("a", 1.0)] * 5, *[("b", 2.0)] * 5)
     cur = frame("c string, x double", *[("a", 1.0)] * 5, *[("z", 2.0)] * 5)
