@@ -84,6 +84,27 @@ def test_entities_are_shuffled_once(spark, frame):
     assert "BroadcastNestedLoop" not in text and "Cartesian" not in text
 
 
+def test_views_are_read_once(spark, tmp_path):
+    path = str(tmp_path / "view")
+    spark.range(2000).select(
+        (F.col("id") % 50).cast("string").alias("field_id"),
+        F.timestamp_seconds(F.col("id") * 86400).alias("week_start"),
+        F.col("id").cast("double").alias("x"),
+    ).write.parquet(path)
+    entities = spark.range(500).select(
+        (F.col("id") % 50).cast("string").alias("field_id"),
+        F.timestamp_seconds(F.col("id") * 90000).alias("event_timestamp"),
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = pit_join(entities, [FeatureView("v", spark.read.parquet(path), ["x"])])
+        joined.collect()
+        final = plan(joined).split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
+
+
 def test_latest_materialize_merge(frame):
     df = frame(
         "field_id string, week_start timestamp, x int",

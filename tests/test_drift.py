@@ -59,6 +59,15 @@ def test_quantiles_match_numpy(spark):
         assert np.allclose(r.quantiles, want, rtol=1e-12)
 
 
+def test_reference_is_read_once(spark, tmp_path):
+    path = str(tmp_path / "ref")
+    long(spark, a=range(300), b=range(50)).write.parquet(path)
+    edges = psi_edges(spark.read.parquet(path))
+    edges.collect()
+    final = plan(edges).split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1
+
+
 def test_running_sums_any_number_of_ranges(spark):
     df = spark.range(200).select(
         F.lit("k").alias("k"), (F.col("id") * F.col("id")).cast("double").alias("v"),
