@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from fieldlens.llm.line_dedup import op1_line_dedup
 from fieldlens.llm.mixing import op7_mix_sources
 from fieldlens.llm.quality import op9_quality_rules
 from fieldlens.llm.token_count import op10_token_counts
+from fieldlens.llm.toxicity import op3_toxicity
+from fieldlens.llm.warc import op2_warc_bundles
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_warc_bundles": op2_warc_bundles,
+    "op3_toxicity": op3_toxicity,
     "op7_mix_sources": op7_mix_sources,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
