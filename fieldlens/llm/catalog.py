@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fieldlens.llm.decontaminate import op6_decontaminate
 from fieldlens.llm.line_dedup import op1_line_dedup
 from fieldlens.llm.mixing import op7_mix_sources
 from fieldlens.llm.quality import op9_quality_rules
@@ -10,6 +11,7 @@ from fieldlens.llm.toxicity import op3_toxicity
 from fieldlens.llm.warc import op2_warc_bundles
 
 QUERIES = {
+    "op6_decontaminate": op6_decontaminate,
     "op1_line_dedup": op1_line_dedup,
     "op2_warc_bundles": op2_warc_bundles,
     "op3_toxicity": op3_toxicity,

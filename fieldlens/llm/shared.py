@@ -13,13 +13,22 @@ from fieldlens.session import cut_lineage, ensure_checkpoint_dir
 BROADCAST_ROWS = 500_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, weigh: Column | None = None) -> DataFrame:
     """Cut the lineage of a narrow table and hint a broadcast if it has at most `rows` rows.
 
-    A larger table is returned without the hint, so that the join shuffles both sides.
+    With arrays in it, `weigh` is the number of rows that a row counts for. A larger table is returned without the
+    hint, so that the join shuffles both sides.
     """
     kept = cut_lineage(df)
-    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+    size = kept.agg(F.sum(F.lit(1) if weigh is None else 1 + weigh)).first()[0] or 0
+    return F.broadcast(kept) if size <= rows else kept
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: for wide results that are read more than once."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -133,6 +133,36 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
         size *= 2
 
 
+def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of each run of w values; built by doubling."""
+    cur, size = x, 1
+    while 2 * size <= w:
+        cur = np.minimum(cur[:-size], cur[size:])
+        size *= 2
+    n = len(x) - w + 1
+    return np.minimum(cur[:n], cur[w - size : w - size + n])
+
+
+def joined(words: Words, kept: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Each text's kept words (a mask over all words) with one space between them."""
+    data = words.data.copy()
+    text = words.text_of[kept]
+    begin, end = words.begin[kept], words.end[kept]
+    follows = np.zeros(len(text), bool)
+    follows[:-1] = text[1:] == text[:-1]
+    # a word that another follows in its text has a blank behind it
+    data[end[follows]] = 0x20
+    edge = np.zeros(len(data) + 1, np.int32)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, end + follows, -1)
+    mask = np.cumsum(edge[:-1]) > 0
+    sums = np.concatenate([[0], np.cumsum(mask)])
+    out = pa.LargeStringArray.from_buffers(
+        len(offsets) - 1, pa.py_buffer(sums[offsets].astype(np.int64)), pa.py_buffer(data[mask])
+    )
+    return out.cast(pa.string())
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch whose texts have about `limit` bytes."""
     if not batch.num_rows:
