@@ -6,11 +6,13 @@ from fieldlens.llm.decontaminate import op6_decontaminate
 from fieldlens.llm.line_dedup import op1_line_dedup
 from fieldlens.llm.mixing import op7_mix_sources
 from fieldlens.llm.quality import op9_quality_rules
+from fieldlens.llm.substring_dedup import op5_substring_dedup
 from fieldlens.llm.token_count import op10_token_counts
 from fieldlens.llm.toxicity import op3_toxicity
 from fieldlens.llm.warc import op2_warc_bundles
 
 QUERIES = {
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op1_line_dedup": op1_line_dedup,
     "op2_warc_bundles": op2_warc_bundles,
