@@ -3,10 +3,86 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldlens.llm.shared import documents, shared_folder
+from fieldlens.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
+from fieldlens.llm.shared import broadcast_if_small, documents, shared_folder
 
-STAGES: list = []
+READ = ("doc_id", "text", "source")
+HAS_WORD = r"[^\x20\x09-\x0D]"
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """What the operators read, and all other columns as one, so that no name meets a name of theirs."""
+    rest = [c for c in docs.columns if c not in READ]
+    return docs.select(*READ, F.struct(*rest).alias("_rest") if rest else F.lit(None).cast("string").alias("_rest"))
+
+
+def _unpacked(df: DataFrame, docs: DataFrame, text=None, more=()) -> DataFrame:
+    """The columns of `docs` again, with a new text and its length where one is given."""
+    columns = {c: F.col(c) if c in READ else F.col(f"_rest.{c}") for c in docs.columns}
+    if text is not None:
+        columns["text"] = text
+        if "n_chars" in columns:
+            columns["n_chars"] = F.when(text.eqNullSafe(F.col("text")), columns["n_chars"]).otherwise(F.length(text))
+            columns["n_chars"] = columns["n_chars"].cast(dict(docs.dtypes)["n_chars"])
+    return df.select(*[x.alias(c) for c, x in columns.items()], *more)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _unpacked(toxicity.with_scores(_packed(docs), model).filter("score < 0.5"), docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; so does a document that had words and has none left."""
+    found = line_dedup.dedup_lines(_packed(docs))
+    found = found.filter((F.col("n_dropped") == 0) | F.col("kept_text").rlike(HAS_WORD))
+    return _unpacked(found, docs, F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept_text")))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the smallest doc_id stays; rows that share an id stay or go together."""
+    found = ngram_join.similar_components(docs)
+    gone = broadcast_if_small(found.filter("component_id != doc_id").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words inside passages of test items are cut out; a document that has none left goes."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find_contamination(_packed(docs), items)
+    found = found.withColumn("_hit", decontaminate.n_hit())
+    clean = F.when(F.col("_hit") == 0, F.col("text")).otherwise(decontaminate.without_spans("text", "spans"))
+    found = found.filter((F.col("_hit") == 0) | (F.col("_hit") < F.col("n_words")))
+    return _unpacked(found, docs, clean)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the mix with copies (how often), taken (words) and finish (the first copy's place in the order).
+
+    Rows of equal id and text come as one row with the copies of all.
+    """
+    mixed = mixing.mix(docs.select(*READ)).filter("copies > 0").groupBy("draw")
+    mixed = mixed.agg(
+        F.sum("copies").alias("copies"),
+        F.sum("taken").alias("taken"),
+        F.min(F.get("finishes", F.lit(0))).alias("finish"),
+    )
+    named = _packed(docs).withColumn("_draw", mixing.draw()).dropDuplicates(["_draw"])
+    joined = named.join(mixed, F.col("_draw") == F.col("draw"))
+    return _unpacked(joined, docs, more=("copies", "taken", "finish"))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_stage),
+    ("ngram_jaccard", near_duplicate_stage),
+    ("decontaminate", benchmark_stage),
+    ("mix_sources", mixing_stage),
+]
+# no stage before the last can be put in SQL: the first one's scores come from a fitted model
 ORACLE_SQL = None
 
 

@@ -10,14 +10,20 @@ from fieldlens.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
+SEED = 7
 # rows that a task sums up in order
-SLICE_ROWS = 20_000
+SLICE_ROWS = 4_000
 
 
 def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def draw(seed: int = SEED) -> Column:
+    """The number by which the rows of a source are shuffled."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
 def cyclic_weight(place: Column) -> Column:
     """1, 2, 3, repeating."""
     return place % 3 + 1
@@ -50,13 +56,13 @@ def source_targets(sized: DataFrame, weight=cyclic_weight, max_repeats: int = MA
     return per.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weight=cyclic_weight, max_repeats: int = MAX_REPEATS, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weight=cyclic_weight, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """Every row of `docs` (doc_id, source, text) with size, source_size, target, copies, taken and finishes.
 
     Each source is shuffled by a hash of seed, id and text. A copy of a document finishes at the tokens of its source
     up to and with it, divided by the source's target. All copies are cut into ranges of that time, in order, and taken
     until the budget, the size of all documents, is used up. `finishes` holds the finish times of the copies taken:
-    exploding it and sorting by it gives the stream in the order of the mix.
+    exploding it and sorting by it gives the stream in the order of the mix. `draw` names the id and text of a row.
 
     Null texts have size 0, and so has the null source's share if all its texts are null; null is a source of its own.
     Rows of equal id and text are separate documents of equal rank. Of `docs` the three columns are read, whatever else
@@ -66,7 +72,7 @@ def mix(docs: DataFrame, weight=cyclic_weight, max_repeats: int = MAX_REPEATS, s
         "doc_id",
         "source",
         word_count("text").alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"),
+        draw(seed).alias("draw"),
         F.monotonically_increasing_id().alias("row"),
     )
     # read once: the passes below take these narrow rows
@@ -114,7 +120,7 @@ def mix(docs: DataFrame, weight=cyclic_weight, max_repeats: int = MAX_REPEATS, s
         away = copied.filter(F.col("range") != last["range"])
         taken = away.withColumn("fits", F.col("range") < last["range"]).unionByName(edge)
     fits = F.col("fits")
-    return taken.groupBy("row", "doc_id", "source", "size", "source_size", "target").agg(
+    return taken.groupBy("row", "draw", "doc_id", "source", "size", "source_size", "target").agg(
         F.sum(F.when(fits, F.col("size")).otherwise(0)).alias("taken"),
         F.count_if(fits).alias("copies"),
         F.array_sort(F.collect_list(F.when(fits, F.col("finish")))).alias("finishes"),
