@@ -6,6 +6,7 @@ from fieldlens.llm.decontaminate import op6_decontaminate
 from fieldlens.llm.line_dedup import op1_line_dedup
 from fieldlens.llm.mixing import op7_mix_sources
 from fieldlens.llm.ngram_join import op4_ngram_jaccard
+from fieldlens.llm.oracle import ORACLE_SQL
 from fieldlens.llm.pitman_yor import op8_lm_scores
 from fieldlens.llm.quality import op9_quality_rules
 from fieldlens.llm.substring_dedup import op5_substring_dedup
@@ -25,4 +26,5 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -107,7 +107,7 @@ BASE_RULES = (
 RULES = (
     *BASE_RULES,
     Rule("symbols", ("n_words", "n_symbols"), lambda n, s: 10 * s > n),
-    Rule("repeated_lines", ("n_lines", "n_dup_lines"), lambda n, d: 10 * d > 3 * n),
+    Rule("repeated_lines", ("n_lines", "n_dup_lines"), lambda n, d: 2 * d > n),
     Rule("capitals", ("n_capitals", "n_small"), lambda c, s: c > s),
     Rule("word_length", ("n_words", "word_chars"), lambda n, c: (c < 2 * n) | (c > 15 * n)),
 )
