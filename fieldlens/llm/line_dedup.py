@@ -57,7 +57,7 @@ class CuckooFilter:
     def insert(self, keys: list[bytes], rounds: int = 1000) -> bool:
         """Insert all keys, or none and say so."""
         mark, bucket, _ = self._places(keys)
-        table, rng, tried = self.table.copy(), np.random.default_rng(len(keys)), 0
+        table, rng = self.table.copy(), np.random.default_rng(len(keys))
         for tried in range(rounds):
             if not len(mark):
                 break
@@ -70,7 +70,7 @@ class CuckooFilter:
             slot = (free[fits] == rank[fits, None] + 1).argmax(axis=1)
             table[bucket[fits], slot] = mark[fits]
             mark, bucket, rank = mark[~fits], bucket[~fits], rank[~fits]
-            if tried % 2 and len(mark):
+            if tried and len(mark):
                 # one newcomer of each full bucket takes the place of a fingerprint there
                 _, head = np.unique(bucket, return_index=True)
                 slot = rng.integers(0, SLOTS, len(head))

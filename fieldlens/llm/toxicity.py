@@ -66,6 +66,11 @@ class Ftrl:
         self.n[at] = after
 
 
+def _state(shard: int, model: Ftrl) -> pa.RecordBatch:
+    columns = [pa.array([shard], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (model.z, model.n)]]
+    return pa.RecordBatch.from_arrays(columns, ["shard", "z", "n"])
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
@@ -105,7 +110,9 @@ def train(rows: DataFrame, bits: int = BITS, shards: int = SHARDS, rounds: int =
     The bias is the log odds of the labels. Without rows, or with labels of one kind only, all weights are 0 and the
     bias is the smoothed log odds.
     """
-    rows = cut_lineage(rows.repartition(shards, F.xxhash64(F.lit(5), "doc_id")).sortWithinPartitions("doc_id"))
+    shard = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(shards)).cast("int")
+    rows = rows.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", "doc_id")
+    rows = cut_lineage(rows)
     total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     bias = math.log((toxic + 0.5) / (total - toxic + 0.5))
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
@@ -113,21 +120,23 @@ def train(rows: DataFrame, bits: int = BITS, shards: int = SHARDS, rounds: int =
         shared = rows.sparkSession.sparkContext.broadcast((z, n))
 
         def learn(batches, shared=shared):
-            z, n = (x.copy() for x in shared.value)
-            model, seen = Ftrl(bits, bias, z, n), 0
+            model, shard = None, None
             for batch in batches:
                 flat, first = batch.column("features").flatten().to_numpy(), batch.column("features").offsets.to_numpy()
                 first = first - first[0]
-                for i, label in enumerate(batch.column("label").to_pylist()):
+                places = zip(batch.column("shard").to_pylist(), batch.column("label").to_pylist(), strict=True)
+                for i, (own, label) in enumerate(places):
+                    if own != shard:
+                        if model is not None:
+                            yield _state(shard, model)
+                        shard, model = own, Ftrl(bits, bias, *(x.copy() for x in shared.value))
                     model.learn(flat[first[i] : first[i + 1]], label)
-                    seen += 1
-            if seen:
-                state = [pa.array([x.tobytes()], pa.binary()) for x in (model.z, model.n)]
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), *state], ["seen", "z", "n"])
+            if model is not None:
+                yield _state(shard, model)
 
         # one row of 2 * 2**bits numbers per shard, however many documents there are
-        states = rows.mapInArrow(learn, "seen long, z binary, n binary").collect()
-        states.sort(key=lambda r: (r["seen"], bytes(r["z"])))
+        states = rows.mapInArrow(learn, "shard int, z binary, n binary").collect()
+        states.sort(key=lambda r: r["shard"])
         z = sum(np.frombuffer(r["z"]) for r in states) / len(states)
         n = sum(np.frombuffer(r["n"]) for r in states) / len(states)
         shared.unpersist()
