@@ -8,21 +8,38 @@ from pyspark.sql import functions as F
 from fieldlens.session import cut_lineage
 
 
+def _undirected(edges: DataFrame) -> DataFrame:
+    pair = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pair.filter("a < b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node of its component.
 
-    Every round gives each node the smallest label among its own and its neighbours' and then that label's label, so
-    the number of rounds grows with the logarithm of the longest path. Each round is written before the next.
+    In every round each node joins the best among itself and its neighbours, by degree and then by a hash that changes
+    with the round, and edges between joined nodes disappear. A star is done in a round or two, and a path, in
+    whatever order its nodes are numbered, shrinks by a factor each time. Each round is written before the next.
     """
-    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")))
-    while True:
-        theirs = label.select(F.col("node").alias("b"), F.col("root").alias("near"))
-        least = both.join(theirs, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        least = label.join(least, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("near"))
-        up = label.select(F.col("node").alias("near"), F.col("root").alias("up"))
-        label = least.join(up, "near").select("node", "was", F.least("near", "up").alias("root"))
-        label = cut_lineage(label)
-        if not label.filter("was != root").limit(1).count():
-            return label.select("node", "root")
-        label = label.drop("was")
+    edges, steps = cut_lineage(_undirected(edges)), []
+    while not edges.isEmpty():
+        rank = lambda node: F.struct("degree", F.xxhash64(F.lit(len(steps)), node), F.col(node).alias("up"))  # noqa: B023, E731
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        degree = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
+        near = both.join(degree.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
+        near = near.agg(F.max(rank("b")).alias("best"))
+        up = degree.join(near, "node").select("node", F.greatest(rank("node"), "best")["up"].alias("up"))
+        steps.append(cut_lineage(up))
+        moved = edges
+        for end in ("a", "b"):
+            to = steps[-1].withColumnsRenamed({"node": end, "up": f"up_{end}"})
+            moved = moved.join(to, end)
+        edges = cut_lineage(_undirected(moved.select(F.col("up_a").alias("a"), F.col("up_b").alias("b"))))
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = steps[-1].withColumnRenamed("up", "root")
+    for step in reversed(steps[:-1]):
+        later = found.withColumnRenamed("node", "up")
+        found = step.join(later, "up", "left").select("node", F.coalesce("root", "up").alias("root"))
+    found = cut_lineage(found)
+    least = found.groupBy("root").agg(F.min("node").alias("least"))
+    return found.join(least, "root").select("node", F.col("least").alias("root"))
