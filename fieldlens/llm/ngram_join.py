@@ -163,9 +163,7 @@ def segments(docs: DataFrame, wanted: DataFrame, levels: np.ndarray, k: int) ->
                      pa.array(rows["part"], pa.list_(pa.int64()))], ["class", "fragment", "part"]
                 )
 
-    found = texts.mapInArrow(cut, "class long, fragment int, part array<long>")
-    # rows that repeat an id and text give the same segments again
-    return found.dropDuplicates(["class", "fragment"])
+    return texts.mapInArrow(cut, "class long, fragment int, part array<long>")
 
 
 def linked(docs: DataFrame, pairs: DataFrame, owners: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFrame:
@@ -176,7 +174,9 @@ def linked(docs: DataFrame, pairs: DataFrame, owners: DataFrame, levels: np.ndar
     right = parts.withColumnsRenamed({"class": "b", "part": "part_b"})
     both = pairs.join(left, "a").join(right, ["b", "fragment"])
     counted = both.withColumn("overlap", F.size(F.array_intersect("part_a", "part_b")))
-    summed = counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
+    # rows that repeat an id and text give the same segments again
+    each = counted.groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max("overlap").alias("overlap"))
+    summed = each.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
     enough = 100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))
     return summed.filter(enough).select("a", "b")
 
@@ -186,11 +186,21 @@ def _in_length(percent: int):
     return 100 * least >= percent * most
 
 
+def _may_link(percent: int):
+    """Whether a pair that shares `shares` of its first shingles can reach the threshold.
+
+    Beyond the first shingles of the set whose first shingles end earlier, at most that set's rest can be common.
+    """
+    rest = lambda n: F.ceil(percent * F.col(n) / 100) - 1
+    bound = F.col("shares") + F.greatest(rest("n_a"), rest("n_b"))
+    return (100 + percent) * bound >= percent * (F.col("n_a") + F.col("n_b"))
+
+
 def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: components of the links between sets of shingles.
 
     Two sets link when 100 * intersection >= percent * union. Texts with equal sets are one class and are not compared.
-    First each class meets one other, the smallest class of its length that shares most of its first shingles; then,
+    First each class meets one other, that stands first among those of its length for most of its first shingles; then,
     for every shingle that classes of different components share, all pairs across these components are counted and
     tested. Pairs within a component need no test, so a large group of near copies costs what its rows cost.
 
@@ -236,15 +246,17 @@ def class_links(docs, rows: DataFrame, classes: DataFrame, levels: np.ndarray, k
 
     # one candidate per class: the hub that most of its first shingles share
     star = postings.filter("class != hub.class").groupBy("class", "n", "hub").agg(F.count("*").alias("shares"))
-    star = star.groupBy("class", "n").agg(F.max_by("hub", F.struct("shares", "hub.class")).alias("hub"))
+    star = star.groupBy("class", "n").agg(F.max(F.struct("shares", "hub")).alias("best")).select("class", "n", "best.*")
     star = star.select(
+        "shares",
         F.least("class", "hub.class").alias("a"),
         F.greatest("class", "hub.class").alias("b"),
         F.when(F.col("class") < F.col("hub.class"), F.col("n")).otherwise(F.col("hub.n")).alias("n_a"),
         F.when(F.col("class") < F.col("hub.class"), F.col("hub.n")).otherwise(F.col("n")).alias("n_b"),
     )
     owners = classes.select("class", F.col("smallest").alias("doc_id")).filter("doc_id is not null")
-    star = stored(star.filter(_in_length(percent)).distinct())
+    star = star.filter(_in_length(percent) & _may_link(percent)).drop("shares")
+    star = stored(star.distinct())
     first = stored(linked(docs, star, owners, levels, k, percent))
 
     # what is left: classes of different components that share one of their first shingles
@@ -259,11 +271,7 @@ def class_links(docs, rows: DataFrame, classes: DataFrame, levels: np.ndarray, k
     b = placed.select("shingle", F.col("root").alias("root_b"), F.col("class").alias("b"), F.col("n").alias("n_b"))
     pairs = meet.join(a, ["shingle", "root_a"]).join(b, ["shingle", "root_b"]).filter(_in_length(percent))
     pairs = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shares"))
-    # beyond the first shingles of the set whose first shingles end earlier, at most its rest can be common
-    rest = lambda n: F.ceil(percent * F.col(n) / 100) - 1
-    bound = F.col("shares") + F.greatest(rest("n_a"), rest("n_b"))
-    needed = (100 + percent) * bound >= percent * (F.col("n_a") + F.col("n_b"))
-    pairs = stored(pairs.filter(needed).drop("shares"))
+    pairs = stored(pairs.filter(_may_link(percent)).drop("shares"))
     return first.union(linked(docs, pairs, owners, levels, k, percent))
 
 
