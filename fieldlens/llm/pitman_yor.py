@@ -93,6 +93,8 @@ def dealt(word: np.ndarray, buckets: int):
     bucket = (word % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
     names, starts = np.unique(bucket[order], return_index=True)
+    if not len(names):
+        return ()
     return zip(names.tolist(), np.split(order, starts[1:]), strict=True)
 
 
@@ -215,12 +217,13 @@ class Model:
 def seat(customers: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, strength: float, rng) -> np.ndarray:
     """Tables of each dish after all its customers are seated again, given the tables of the other dishes.
 
-    Customers come one by one at first and, from then on, in blocks that double, with one binomial draw per block.
+    Customers come one by one at first and, from then on, in blocks of an eighth of those seated, with one binomial
+    draw per block.
     """
     tables = np.minimum(customers, 1).astype(np.float64)
     active, i = np.flatnonzero(customers > 1), 1
     while len(active):
-        step = 1 if i < SEATED_SINGLY else i
+        step = 1 if i < SEATED_SINGLY else i // 8
         arriving = np.minimum(customers[active] - i, step)
         t = tables[active]
         opens = (strength + discount * (others[active] + t)) * base[active]
