@@ -14,6 +14,7 @@ from checks.tables import (
     rounded,
     shown,
     ts_sql,
+    with_nan,
 )
 from fieldlens.operators.quality import (
     SENSOR_SUITE,
@@ -108,7 +109,7 @@ QUARANTINE_SQL = f"""WITH {READINGS} SELECT CASE WHEN {BAD} THEN 'quarantined' E
 
 
 def q_climate_gate(spark, sf):
-    return shown(climate_gate(daily_climate(spark, sf)))
+    return shown(climate_gate(with_nan(daily_climate(spark, sf))))
 
 
 GATE = f"""{DAILY}, g AS (SELECT field_id, greatest(avg(CAST(PRECTOTCORR IS NULL AS INTEGER)),

@@ -20,6 +20,7 @@ from checks.tables import (
     shown,
     ts_sql,
     weather,
+    with_nan,
 )
 from fieldlens.functions.agronomy import expected_yield, scene_ndvi, scene_ndvi_tiles, soil_proxies
 from fieldlens.operators.asof import (
@@ -112,7 +113,7 @@ FIELDS = """fields AS (
 
 
 def q_climate_weekly_proxies(spark, sf):
-    weekly = enrich(climate_weekly(daily_climate(spark, sf)), fields_of(spark, sf))
+    weekly = enrich(climate_weekly(with_nan(daily_climate(spark, sf))), fields_of(spark, sf))
     rows = expected_yield(soil_proxies(weekly), SEGMENT_YIELD)
     return shown(rows.drop("name", "area_ha", "c_nationkey"))
 
@@ -239,6 +240,9 @@ def q_lookup_defaults(spark, sf):
         F.avg(F.col("o_totalprice") / F.pi()).alias("sar_ratio_mean")
     )
     codes = {"BUILDING": 0, "MACHINERY": 2, "HOUSEHOLD": 4}
+    # every id stands twice on either side: rows stay as many as there are yields
+    yields = yields.unionByName(yields)
+    sar = sar.unionByName(sar.withColumn("sar_ratio_mean", F.col("sar_ratio_mean") + 1))
     return shown(build_training_rows(yields, sar, climate, soil, 2015, codes))
 
 
@@ -249,7 +253,8 @@ LOOKUP_SQL = f"""WITH soil AS (
     avg(s_acctbal) FILTER (s_acctbal > 5000) AS p, max(s_acctbal) AS r, min(s_acctbal) AS e
     FROM supplier GROUP BY ALL HAVING avg(s_acctbal) > 4000),
   sar AS (SELECT o_custkey AS id, avg(o_totalprice / pi()) AS s FROM orders GROUP BY ALL),
-  b AS (SELECT *, 52.5 + (c_nationkey * 1000) / 111320 / 1000 AS lat0 FROM customer)
+  b AS (SELECT *, 52.5 + (c_nationkey * 1000) / 111320 / 1000 AS lat0
+    FROM (SELECT * FROM customer UNION ALL SELECT * FROM customer))
 SELECT round(lat0, 5) AS lat,
   round(-1.5 + (c_acctbal * 10) / (111320 * cos(radians(lat0))) / 1000, 5) AS lon,
   50.0::DOUBLE AS area_ha,
@@ -445,6 +450,24 @@ SELECT o_orderkey, field_id, {ts_sql('t')} AS event_timestamp,
   round(CASE WHEN week_start >= t - INTERVAL 56 DAY THEN precip_total END, 6) AS precip_total,
   round(CASE WHEN day >= t - INTERVAL 3 DAY THEN peak END, 6) AS peak FROM b"""
 
+
+
+def q_pit_join_dense(spark, sf):
+    """A handful of keys with all rows: each event a little later, against the events of its type."""
+    events = load(spark, sf, "events")
+    values = events.groupBy("event_type", "ts").agg(F.max("value").alias("peak"))
+    later = F.col("ts") + F.expr("INTERVAL 90 SECONDS")
+    entities = events.select("event_id", "event_type", later.alias("event_timestamp"))
+    view = FeatureView("values", values, ["peak"], timedelta(minutes=2), key="event_type", ts="ts")
+    return shown(pit_join(entities, [view], key="event_type", bucket=timedelta(hours=6)))
+
+
+PIT_DENSE_SQL = f"""WITH v AS (SELECT event_type, ts, max(value) AS peak FROM events GROUP BY ALL),
+  e AS (SELECT event_id, event_type, ts + INTERVAL 90 SECOND AS t FROM events)
+SELECT e.event_id, e.event_type, {ts_sql('e.t')} AS event_timestamp,
+  round(CASE WHEN v.ts >= e.t - INTERVAL 2 MINUTE THEN peak END, 6) AS peak
+FROM e ASOF LEFT JOIN v ON e.event_type = v.event_type AND e.t >= v.ts"""
+
 AS_OF = datetime(2024, 1, 16, 0, 30)
 
 
@@ -557,6 +580,7 @@ QUERIES = {
     "unknown_fields": (q_unknown_fields, UNKNOWN_SQL),
     "union_parts": (q_union_parts, UNION_SQL),
     "pit_join_ttl": (q_pit_join_ttl, PIT_SQL),
+    "pit_join_dense": (q_pit_join_dense, PIT_DENSE_SQL),
     "live_fallback": (q_live_fallback, LIVE_SQL),
     "online_latest": (q_online_latest, ONLINE_SQL),
     "incremental_merge": (q_incremental_merge, MERGE_SQL),

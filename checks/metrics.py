@@ -16,6 +16,7 @@ from checks.tables import (
     scratch,
     shown,
     ts_sql,
+    with_nan,
 )
 from fieldlens.operators.metrics import (
     compare_runs,
@@ -87,7 +88,7 @@ SELECT crop_type, n, {rounded('rmse', 'mae', 'r2', digits=4)} FROM s"""
 
 def q_null_rates(spark, sf):
     cols = ["PRECTOTCORR", "T2M_MAX", "T2M_MIN", "RH2M"]
-    return shown(null_rates(daily_climate(spark, sf), cols))
+    return shown(null_rates(with_nan(daily_climate(spark, sf)), cols))
 
 
 NULL_SQL = f"""WITH {DAILY}, r AS (SELECT avg(CAST(PRECTOTCORR IS NULL AS INTEGER)) AS PRECTOTCORR,

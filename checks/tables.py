@@ -48,6 +48,12 @@ def rounded(*cols: str, digits: int = DIGITS) -> str:
     return ", ".join(out)
 
 
+def with_nan(df: DataFrame) -> DataFrame:
+    """Nulls in columns of doubles as NaN: operators must not tell the two apart."""
+    nan = F.lit(float("nan"))
+    return df.withColumns({c: F.coalesce(F.col(c), nan) for c, t in df.dtypes if t == "double"})
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder next to the checkpoints, for queries that write tables."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/work-{uuid.uuid4().hex}"

@@ -48,6 +48,12 @@ def missing_as_null(col: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def nan_as_null(df: DataFrame, cols: Iterable[str]) -> DataFrame:
+    """The same rows with NaN turned into null in those of `cols` that hold floating-point numbers."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: missing_as_null(c) for c in cols if kinds.get(c) in ("double", "float")})
+
+
 def null_sentinel(df: DataFrame, cols: Iterable[str], sentinel: float = -999.0) -> DataFrame:
     return df.withColumns({c: F.nullif(F.col(c), F.lit(sentinel)) for c in cols})
 

@@ -40,12 +40,12 @@ def _time(col: Column | str) -> Column:
     return F.unix_micros(as_column(col).cast("timestamp"))
 
 
-def _timeline(views: Sequence[FeatureView], width: int) -> DataFrame:
-    """Disjoint validity intervals per key with the newest row of every view.
+def _changes(views: Sequence[FeatureView], width: int) -> DataFrame:
+    """Rows of all views by key and time, with the newest row of every view that reaches a bucket.
 
-    Columns: _key, _bucket, _from, _to (exclusive), v0, v1, … Each bucket of `width` microseconds
-    is self-contained: the state that reaches into it is carried in as an extra row, so no task
-    ever sorts more than one bucket of one key.
+    Columns: _key, _bucket, _from, _order, v0, v1, … Each bucket of `width` microseconds is
+    self-contained: the state that reaches into it is carried in as an extra row (_order 0), so no
+    task ever sorts more than one bucket of one key.
     """
     names = [f"v{i}" for i in range(len(views))]
     parts = []
@@ -88,18 +88,9 @@ def _timeline(views: Sequence[FeatureView], width: int) -> DataFrame:
         *names,
     ).withColumn("_from", F.col("_bucket") * width)
 
-    rows = changes.withColumn("_order", F.lit(1)).unionByName(
+    return changes.withColumn("_order", F.lit(1)).unionByName(
         carried.withColumn("_order", F.lit(0))
     )
-    inside = Window.partitionBy("_key", "_bucket").orderBy("_from", "_order")
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select(
-        "_key",
-        "_bucket",
-        "_from",
-        F.coalesce(F.lead("_from").over(inside), (F.col("_bucket") + 1) * width).alias("_to"),
-        *[F.last(v, ignorenulls=True).over(upto).alias(v) for v in names],
-    )
 
 
 def pit_join(
@@ -111,30 +102,34 @@ def pit_join(
 ) -> DataFrame:
     """Left join every view as of each entity row; a match older than the view's TTL is null.
 
-    All views are merged into one timeline first, so the entities are shuffled once however many
-    views there are. The join is an equi-join on (key, time bucket): a key with a third of all
-    entity rows spreads over its buckets, and AQE splits whatever partition is still too large.
-    Both ends of the TTL window are inclusive.
+    Entities and the rows of all views are sorted together within (key, time bucket), and each
+    entity takes the newest row of every view before it: one pass, linear in the rows of a bucket.
+    A dense key spreads over its buckets; `bucket` makes them narrower. Entities without a key or
+    time match nothing and are dealt out by a hash of the row. Both ends of the TTL window are
+    inclusive.
     """
     width = _micros(bucket or max(view.ttl for view in views))
-    timeline = _timeline(views, width)
-    now = F.col("_at")
-    left = entities.withColumn("_at", _time(ts)).withColumn(
-        "_slot", F.floor(F.col("_at") / width)
-    )
-    matched = left.join(
-        timeline,
-        (F.col(key) == F.col("_key"))
-        & (F.col("_slot") == F.col("_bucket"))
-        & (now >= F.col("_from"))
-        & (now < F.col("_to")),
-        "left",
+    names = [f"v{i}" for i in range(len(views))]
+    changes = _changes(views, width)
+    at = _time(ts)
+    usable = F.col(key).isNotNull() & at.isNotNull()
+    left = entities.select(
+        F.when(usable, F.col(key)).alias("_key"),
+        F.when(usable, F.floor(at / width)).otherwise(F.xxhash64(*entities.columns)).alias("_bucket"),
+        at.alias("_from"),
+        F.lit(2).alias("_order"),
+        F.struct(*entities.columns).alias("_row"),
     )
+    rows = left.unionByName(changes, allowMissingColumns=True)
+    inside = Window.partitionBy("_key", "_bucket").orderBy("_from", "_order")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = [F.last(v, ignorenulls=True).over(upto).alias(v) for v in names]
+    matched = rows.select("_from", "_order", "_row", *seen).filter("_order = 2")
     outputs = []
-    for i, view in enumerate(views):
-        fresh = F.col(f"v{i}.t") >= now - _micros(view.ttl)
-        outputs += [F.when(fresh, F.col(f"v{i}.{c}")).alias(view.output(c)) for c in view.cols]
-    return matched.select(*[F.col(c) for c in entities.columns], *outputs)
+    for v, view in zip(names, views, strict=True):
+        fresh = F.col(f"{v}.t") >= F.col("_from") - _micros(view.ttl)
+        outputs += [F.when(fresh, F.col(f"{v}.{c}")).alias(view.output(c)) for c in view.cols]
+    return matched.select(*[F.col("_row")[c].alias(c) for c in entities.columns], *outputs)
 
 
 def online_latest(

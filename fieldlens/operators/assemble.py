@@ -139,6 +139,13 @@ def soil_by_grid(soil: DataFrame, order: str, grid: str = "grid_ID") -> DataFram
     return first_by_key(drop_unnamed(soil), grid, SOIL_ATTRIBUTES, order)
 
 
+def one_per_key(df: DataFrame, key: str, cols: Sequence[str], order: str | None = None) -> DataFrame:
+    """One whole row per key: the first in `order`, equal ones settled by the smallest values."""
+    row = F.struct(*cols)
+    rank = row if order is None else F.struct(F.col(order), row)
+    return df.groupBy(key).agg(F.min_by(row, rank).alias("_first")).select(key, "_first.*")
+
+
 # fixed values: what a row gets when its lookup finds nothing
 CLIMATE_DEFAULTS = {
     "temperature_2m_mean": 15.0,
@@ -162,18 +169,25 @@ def build_training_rows(
     year: int,
     crop_codes: Mapping[str, int] = CROP_CODES,
     default_crop: int = DEFAULT_CROP_CODE,
+    order: str = "row_order",
 ) -> DataFrame:
     """Yearly training rows: yields with soil, climate and satellite looked up, gaps defaulted.
 
     A climate cell that is missing altogether gets the defaults; a cell that is present keeps its
-    own nulls. Pass `default_crop=-1` to keep unknown crops apart from the default crop.
+    own nulls. Pass `default_crop=-1` to keep unknown crops apart from the default crop. Each lookup
+    gives one row per key, the first by the column named `order` if it has one, so yields keep their
+    number of rows.
     """
+
+    def lookup(df: DataFrame, key: str, *cols: str) -> DataFrame:
+        return one_per_key(df, key, cols, order if order in df.columns else None)
+
     lat, lon = grid_to_latlon("east", "north")
-    found = climate.select("grid_ID", *CLIMATE_DEFAULTS, F.lit(True).alias("_climate"))
+    found = lookup(climate, "grid_ID", *CLIMATE_DEFAULTS).withColumn("_climate", F.lit(True))
     joined = (
-        yields.join(soil.select("grid_ID", "text", "awc"), "grid_ID", "left")
+        yields.join(lookup(soil, "grid_ID", "text", "awc"), "grid_ID", "left")
         .join(found, "grid_ID", "left")
-        .join(sar.select("ID", "sar_ratio_mean"), "ID", "left")
+        .join(lookup(sar, "ID", "sar_ratio_mean"), "ID", "left")
     )
     rows = joined.select(
         lat.alias("lat"),

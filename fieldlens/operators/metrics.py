@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldlens.functions.scalars import nan_as_null
 from fieldlens.session import small_side
 
 # fixed values: gates
@@ -72,7 +73,8 @@ def crop_mean_predict(
 
 
 def null_rates(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Share of nulls per column, long form."""
+    """Share of nulls per column, long form. NaN counts as null."""
+    df = nan_as_null(df, cols)
     rates = df.groupBy(*keys).agg(
         *[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in cols]
     )
@@ -80,7 +82,8 @@ def null_rates(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) ->
 
 
 def range_violations(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Whether daily climate holds an impossible temperature or negative rain."""
+    """Whether daily climate holds an impossible temperature or negative rain. NaN is neither."""
+    df = nan_as_null(df, ["T2M_MAX", "PRECTOTCORR"])
     hot = (F.col("T2M_MAX") < -20) | (F.col("T2M_MAX") > 50)
     return df.groupBy(*keys).agg(
         F.coalesce(F.bool_or(hot), F.lit(False)).alias("temperature_out_of_range"),

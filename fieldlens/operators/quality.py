@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldlens.functions.scalars import nan_as_null
+
 
 
 @dataclass(frozen=True)
@@ -282,7 +284,8 @@ GATE_COLS = ["PRECTOTCORR", "T2M_MAX", "T2M_MIN", "RH2M"]
 
 
 def climate_gate(daily: DataFrame, key: str = "field_id") -> DataFrame:
-    """Verdict per field: null rates, temperature range, no negative rain."""
+    """Verdict per field: null rates, temperature range, no negative rain. NaN counts as null."""
+    daily = nan_as_null(daily, GATE_COLS)
     hot = F.coalesce((F.col("T2M_MAX") < -20) | (F.col("T2M_MAX") > 50), F.lit(False))
     wet = F.coalesce(F.col("PRECTOTCORR") < 0, F.lit(False))
     checked = daily.groupBy(key).agg(

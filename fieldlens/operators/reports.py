@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.operators.prefix import running_sums, snap_to_cuts
 
-# fixed values: drift limits; below SMALL_SAMPLE reference rows a test's p-value decides
-SMALL_SAMPLE = 1000
+# fixed values: drift limits
 MAX_DISTANCE = 0.1
 MIN_P_VALUE = 0.05
 DRIFTED_SHARE = 0.5
@@ -36,11 +35,17 @@ def _tagged(
     )
 
 
+METHODS = ("wasserstein", "ks_p_value")
+
+
 def numeric_drift(
-    ref: DataFrame, cur: DataFrame, columns: Sequence[str], cells: int | None = None
+    ref: DataFrame, cur: DataFrame, columns: Sequence[str], cells: int | None = None,
+    method: str = "wasserstein",
 ) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance and normed Wasserstein distance per column.
 
+    `drifted` goes by `method`, whatever the number of rows: the distance, or the p-value of the KS test.
+
     Both come exactly from the running counts over distinct values, which are summed range by
     range, so a column of any size is spread over many tasks. With `cells` (a power of two, such
     as 1024) the counts are taken on that many quantile cells instead: approximate, but no more
@@ -82,16 +87,17 @@ def numeric_drift(
     return (
         found.withColumn("p_value", p)
         .withColumn("wasserstein", F.col("_area") / norm)
-        .withColumn(
-            "drifted",
-            F.when(F.col("n_ref") <= SMALL_SAMPLE, F.col("p_value") < MIN_P_VALUE).otherwise(
-                F.col("wasserstein") >= MAX_DISTANCE
-            ),
-        )
+        .withColumn("drifted", _drifted(method))
         .select("column", "n_ref", "n_cur", "ks", "p_value", "wasserstein", "drifted")
     )
 
 
+def _drifted(method: str) -> Column:
+    if method not in METHODS:
+        raise ValueError(f"method is one of {METHODS}")
+    return F.col("p_value") < MIN_P_VALUE if method == "ks_p_value" else F.col("wasserstein") >= MAX_DISTANCE
+
+
 def category_drift(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Jensen-Shannon distance and chi-square statistic per category column."""
     counts = _tagged(ref, cur, columns, "string")
@@ -123,17 +129,17 @@ def category_drift(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> Da
 
 def column_drift(
     ref: DataFrame, cur: DataFrame, numeric: Sequence[str], categories: Sequence[str] = (),
-    cells: int | None = None,
+    cells: int | None = None, method: str = "wasserstein",
 ) -> DataFrame:
     """One row per column: method, score, drifted, and the share of drifted columns overall."""
     parts = []
     if numeric:
-        small = F.col("n_ref") <= SMALL_SAMPLE
+        score = "p_value" if method == "ks_p_value" else "wasserstein"
         parts.append(
-            numeric_drift(ref, cur, numeric, cells).select(
+            numeric_drift(ref, cur, numeric, cells, method).select(
                 "column",
-                F.when(small, "ks_p_value").otherwise("wasserstein").alias("method"),
-                F.when(small, F.col("p_value")).otherwise(F.col("wasserstein")).alias("score"),
+                F.lit(method).alias("method"),
+                F.col(score).alias("score"),
                 "drifted",
             )
         )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlens.functions.scalars import event_time, week_start
+from fieldlens.functions.scalars import event_time, nan_as_null, week_start
 
 FIELD_WEEK = ["field_id", "week_start"]
 
@@ -60,13 +60,16 @@ def soil_weekly(readings: DataFrame, mask_faults: bool = False) -> DataFrame:
 
 
 def weather_weekly(readings: DataFrame) -> DataFrame:
+    """Weekly weather per field. NaN counts as null."""
+    readings = nan_as_null(readings, ["temperature", "precipitation", "humidity", "wind_speed"])
     return with_week(readings).groupBy(*FIELD_WEEK).agg(*weather_statistics())
 
 
 def climate_weekly(daily: DataFrame) -> DataFrame:
-    """Daily climate rows to weeks. The temperature columns describe daily maxima."""
+    """Daily climate rows to weeks. The temperature columns describe daily maxima. NaN counts as null."""
     return (
-        daily.withColumn("week_start", week_start("date"))
+        nan_as_null(daily, ["T2M_MAX", "PRECTOTCORR", "RH2M", "WS2M"])
+        .withColumn("week_start", week_start("date"))
         .groupBy(*FIELD_WEEK)
         .agg(
             F.avg("T2M_MAX").alias("air_temp_mean"),

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame
 
-from fieldlens.operators.assemble import assemble_weekly, enrich
+from fieldlens.operators.assemble import assemble_weekly, enrich, unknown_fields
 from fieldlens.operators.metrics import regression_metrics, regression_metrics_by
 from fieldlens.operators.quality import validate, verdict
 from fieldlens.operators.splits import temporal_split
@@ -38,12 +38,15 @@ def checked(df: DataFrame, suite: Sequence, name: str) -> DataFrame:
 
 def build_features(
     soil: DataFrame, weather: DataFrame, scenes: DataFrame, labels: DataFrame, fields: DataFrame
-) -> DataFrame:
-    """Landed events to one row per (field, week) with label and field attributes."""
+) -> tuple[DataFrame, DataFrame]:
+    """Landed events to one row per (field, week) with label and field attributes.
+
+    The second table has the weeks whose field the dimension does not know.
+    """
     weekly = assemble_weekly(
         soil_weekly(soil), weather_weekly(weather), vegetation_weekly(scenes), labels
     )
-    return enrich(weekly, fields)
+    return enrich(weekly, fields), unknown_fields(weekly, fields)
 
 
 def train_and_judge(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +30,11 @@ def build_session(app: str = "fieldlens", **extra: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder named by the cluster; fall back to a scratch folder only if unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir, or one set on the context.
+
+    Where neither is set, a local master gets a temporary folder that goes when the process ends. A cluster raises:
+    its executors would each write to a disk that the others do not see.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
@@ -36,10 +42,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not current:
             context.setCheckpointDir(named)
     elif not current:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="fieldlens-checkpoint-"))
+        if not is_local(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="fieldlens-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and continue from the written files."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -260,3 +260,17 @@ def test_performance_drift(frame):
     got = {r.side: r for r in performance_drift(ref, ref.withColumn("p", F.col("y")), "y", "p").collect()}
     assert got["reference"].mean_error == 1.0 and got["reference"].r2 == pytest.approx(-0.5)
     assert got["current"].rmse == 0.0 and got["current"].r2 == 1.0
+
+
+@pytest.mark.parametrize("n", [999, 1000, 1001])
+def test_the_drift_rule_does_not_depend_on_size(spark, n):
+    # a shift that the test's p-value sees and the distance limit does not
+    ref = spark.range(n).select((F.col("id") / n).alias("x"))
+    cur = spark.range(40 * n).select((F.col("id") / (40 * n) + 0.025).alias("x"))
+    by_distance = numeric_drift(ref, cur, ["x"]).first()
+    by_test = numeric_drift(ref, cur, ["x"], method="ks_p_value").first()
+    assert by_distance.wasserstein == pytest.approx(by_test.wasserstein)
+    assert by_distance.drifted == (by_distance.wasserstein >= 0.1)
+    assert by_test.drifted == (by_test.p_value < 0.05)
+    with pytest.raises(ValueError):
+        numeric_drift(ref, cur, ["x"], method="other")

@@ -107,3 +107,48 @@ def test_enrich_and_unknown(frame):
     dim = frame("field_id string, crop_type string", ("a", "wheat"))
     assert rows(enrich(facts, dim)) == [("a", 1, "wheat")]
     assert rows(unknown_fields(facts, dim)) == [("b", 2)]
+
+
+def test_nan_counts_as_missing(frame):
+    from fieldlens.operators.metrics import null_rates, range_violations
+    from fieldlens.operators.quality import climate_gate
+    from fieldlens.operators.weekly import climate_weekly, weather_weekly
+
+    nan = float("nan")
+    daily = frame(
+        "field_id string, date timestamp, T2M_MAX double, T2M_MIN double, PRECTOTCORR double, RH2M double, WS2M double",
+        ("f", "2024-01-01", 10.0, 1.0, nan, 50.0, 1.0), ("f", "2024-01-02", nan, 1.0, 2.0, 50.0, nan),
+    )
+    gate = climate_gate(daily).first()
+    assert gate.max_null_rate == 0.5 and not gate.passed and not gate.temperature_out_of_range
+    week = climate_weekly(daily).first()
+    assert (week.air_temp_mean, week.precip_total, week.wind_speed_mean) == (10.0, 2.0, 1.0)
+    rates = {r.column: r.null_rate for r in null_rates(daily, ["PRECTOTCORR", "RH2M"]).collect()}
+    assert rates == {"PRECTOTCORR": 0.5, "RH2M": 0.0}
+    assert not range_violations(daily).first().temperature_out_of_range
+    rain = frame(
+        "field_id string, timestamp long, temperature double, precipitation double, humidity double, wind_speed double",
+        ("f", 0, 1.0, nan, 1.0, 1.0), ("f", 1, 3.0, 4.0, nan, 1.0),
+    )
+    row = weather_weekly(rain).first()
+    assert (row.precip_total, row.humidity_mean, row.air_temp_mean) == (4.0, 1.0, 2.0)
+
+
+def test_lookups_do_not_multiply_rows(frame):
+    from fieldlens.operators.assemble import build_training_rows
+
+    yields = frame(
+        "ID long, grid_ID long, Crop string, east double, north double, Yield double",
+        (1, 7, "x", 1.0, 1.0, 3.0), (1, 7, "x", 1.0, 1.0, 4.0),
+    )
+    sar = frame("ID long, sar_ratio_mean double, row_order long", (1, 500.0, 2), (1, 700.0, 1))
+    soil = frame("grid_ID long, text string, awc double", (7, "2", 0.1), (7, "2", 0.2))
+    climate = frame(
+        "grid_ID long, temperature_2m_mean double, precipitation_sum double, "
+        "shortwave_radiation_sum double, et0_fao_evapotranspiration double",
+        (7, 1.0, 2.0, 3.0, 4.0), (7, 1.0, 2.0, 3.0, 5.0),
+    )
+    got = build_training_rows(yields, sar, climate, soil, 2020).collect()
+    assert sorted(r.yield_kg_per_ha for r in got) == [3000.0, 4000.0]
+    # the first in the order given, else the smallest
+    assert {(r.ndvi, r.soil_moisture, r.et0_fao_evapotranspiration) for r in got} == {(0.7, 0.1, 4.0)}
