@@ -28,7 +28,7 @@ CLASSES = 1 << CLASS_BITS
 HOT_WORDS = 512
 # text whose words make up a bucket, and text that a task counts or looks up at once
 BUCKET_BYTES = 16 << 20
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 SWEEPS, BURN_IN = 3, 1
 STRENGTH = (1.0, 1.0)
 SEATED_SINGLY = 64
