@@ -131,7 +131,7 @@ def shard_rows(docs: DataFrame, routed: DataFrame, window: int, seed: int) -> Da
 
 
 def locate(rows: DataFrame, window: int, seed: int) -> DataFrame:
-    """Every window whose seed is a recurring phrase: h and x (its hash), doc_id, text_id and pos.
+    """Every window whose seed is a recurring phrase: h and x (its hash), doc_id, text_id, pos and more (places).
 
     Each task reads the phrases of a split first, compiles their automaton, and streams the split's texts through it.
     """
@@ -174,15 +174,25 @@ def locate(rows: DataFrame, window: int, seed: int) -> DataFrame:
         text = words.text_of[starts]
         h = tokens.windows(words.hash, window)[starts]
         x = tokens.windows(tokens.mix(words.hash ^ _SECOND), window)[starts] >> np.uint64(33)
-        taken = pa.array(text)
+        pos = (starts - words.first[text]).astype(np.int32)
+        # a window that a text repeats is one row, with its later places in `more`
+        key = tokens.mix(h ^ ((text + 1).astype(np.uint64) * _SECOND))
+        order = np.argsort(key, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        one = order[new]
+        later = np.diff(np.append(np.flatnonzero(new), len(order))) - 1
+        ends = np.concatenate([[0], np.cumsum(later)]).astype(np.int32)
+        more = pa.ListArray.from_arrays(pa.array(ends), pa.array(pos[order[~new]]), mask=pa.array(later == 0))
+        taken = pa.array(text[one])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)), pa.array(x.astype(np.int32)), piece.column("doc_id").take(taken),
-             piece.column("text_id").take(taken), pa.array((starts - words.first[text]).astype(np.int32))],
-            ["h", "x", "doc_id", "text_id", "pos"],
+            [pa.array(h[one].view(np.int64)), pa.array(x[one].astype(np.int32)), piece.column("doc_id").take(taken),
+             piece.column("text_id").take(taken), pa.array(pos[one]), more],
+            ["h", "x", "doc_id", "text_id", "pos", "more"],
         )
 
     dealt = rows.repartition("shard", "split").sortWithinPartitions("shard", "split", "kind")
-    return dealt.mapInArrow(stream, f"h long, x int, doc_id {kind}, text_id long, pos int")
+    return dealt.mapInArrow(stream, f"h long, x int, doc_id {kind}, text_id long, pos int, more array<int>")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -193,7 +203,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     first = first.filter("first < last").drop("last")
     later = windows.join(first, ["h", "x"]).filter("first < doc_id")
     # positions within one text: its length bounds them
-    return later.groupBy("doc_id", "text_id").agg(F.collect_set("pos").alias("positions"))
+    places = F.concat(F.collect_set("pos"), F.flatten(F.collect_set("more")))
+    return later.groupBy("doc_id", "text_id").agg(places.alias("positions"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:

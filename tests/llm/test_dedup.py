@@ -147,6 +147,17 @@ def test_shorter_windows_and_many_shards(spark, monkeypatch):
     assert by_id(found, "n_words", "n_removed", "sha") == brute.substring_dedup(rows, 9)
 
 
+def test_a_window_repeated_within_a_text_is_one_row(spark):
+    rows = [(k, " ".join(["is", "on"] * 100 + [f"w{k}"] + ["is", "on"] * 60)) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = hashed(substring_dedup.without_repeats(df))
+    assert by_id(found, "n_words", "n_removed", "sha") == brute.substring_dedup(rows)
+    named = df.withColumn("text_id", F.xxhash64("text"))
+    routed = substring_dedup.routes(substring_dedup.seed_rows(named, 50, 16))
+    windows = substring_dedup.locate(substring_dedup.shard_rows(named, routed, 50, 16), 50, 16)
+    assert windows.groupBy("doc_id", "h", "x").count().filter("count > 1").count() == 0
+
+
 def test_passages_of_odd_tables(spark, docs):
     assert substring_dedup.without_repeats(docs.limit(0)).collect() == []
     text = " ".join(f"w{k}" for k in range(55))
