@@ -146,7 +146,7 @@ def buffers(spark, sf):
 
 def q_drift_level(spark, sf):
     ref, _ = halves(spark, sf)
-    profile = psi_profile(to_long(ref, [], FEATURES[:3]), n_bins=BINS)
+    profile = psi_profile(to_long(ref, [], FEATURES), n_bins=BINS)
     levels = drift_level(drift_scores(buffers(spark, sf), profile))
     return shown(levels.withColumn("psi_scores", F.to_json("psi_scores")).drop("psi_scores"))
 
@@ -156,7 +156,7 @@ BUFFER = """buf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fie
 
 LEVEL_SQL = f"""WITH {LONG}, {BUFFER}, {psi_sql('buf', 'field_id, feature')},
   f AS (SELECT field_id, max(round(psi, 4)) AS m FROM scored
-    WHERE feature <> 't2m_min_today' GROUP BY field_id)
+    GROUP BY field_id)
 SELECT field_id, round(m, 4) AS max_psi, m > 0.5 AS drift_warning,
   CASE WHEN m > 0.5 THEN 'red' WHEN m > 0.25 THEN 'amber' ELSE 'green' END AS drift_level FROM f"""
 
@@ -231,7 +231,7 @@ SELECT *, CASE WHEN season_rmse_breach THEN 'genuine_degradation'
 
 
 def q_rolling_buffer(spark, sf):
-    rows = to_long(wide_events(spark, sf), ["user", "ts", "event_id"], FEATURES[:2])
+    rows = to_long(wide_events(spark, sf), ["user", "ts", "event_id"], FEATURES)
     kept = rolling_buffer(
         rows, 20, ["user", "feature"], tie=["event_id"], ttl=timedelta(hours=30)
     )
@@ -241,8 +241,7 @@ def q_rolling_buffer(spark, sf):
 BUFFER_SQL = f"""WITH {LONG}, r AS (
   SELECT "user", ts, event_id, feature, value,
     row_number() OVER w AS rn, lead(ts) OVER w AS older
-  FROM long WHERE feature IN ('rainfall_today_mm', 't2m_max_today')
-  WINDOW w AS (PARTITION BY "user", feature ORDER BY ts DESC, event_id DESC)),
+  FROM long WINDOW w AS (PARTITION BY "user", feature ORDER BY ts DESC, event_id DESC)),
   k AS (SELECT *, min(CASE WHEN ts - older > INTERVAL 30 HOUR AND rn < 20 THEN rn END)
     OVER (PARTITION BY "user", feature) AS restart FROM r WHERE rn <= 20)
 SELECT "user", {ts_sql('ts')} AS ts, event_id, feature, round(value, 6) AS value FROM k
@@ -254,19 +253,18 @@ WHERE restart IS NULL OR rn <= restart"""
 
 def q_column_drift_ks(spark, sf):
     ref, cur = halves(spark, sf)
-    return shown(numeric_drift(ref, cur, FEATURES[:3]).drop("p_value"), 5)
+    return shown(numeric_drift(ref, cur, FEATURES).drop("p_value"), 5)
 
 
 KS_BODY = f"""{LONG}, v AS (
   SELECT feature, value, count(*) FILTER (ts < TIMESTAMP '{MIDDLE}') AS r,
-    count(*) FILTER (ts >= TIMESTAMP '{MIDDLE}') AS c FROM long
-  WHERE feature <> 't2m_min_today' GROUP BY ALL),
+    count(*) FILTER (ts >= TIMESTAMP '{MIDDLE}') AS c FROM long GROUP BY ALL),
   t AS (SELECT *, sum(r) OVER w AS cr, sum(c) OVER w AS cc, sum(r) OVER g AS tr,
     sum(c) OVER g AS tc, lead(value) OVER w AS nxt FROM v
     WINDOW w AS (PARTITION BY feature ORDER BY value), g AS (PARTITION BY feature)),
   a AS (SELECT feature, max(tr) AS n_ref, max(tc) AS n_cur, max(abs(cr / tr - cc / tc)) AS ks,
-    sum((nxt - value) * abs(cr / tr - cc / tc)) AS area,
-    sqrt(sum(r * value * value) / max(tr) - (sum(r * value) / max(tr)) ** 2) AS std
+    coalesce(sum((nxt - value) * abs(cr / tr - cc / tc)), 0) AS area,
+    sqrt(greatest(sum(r * value * value) / max(tr) - (sum(r * value) / max(tr)) ** 2, 0)) AS std
     FROM t GROUP BY feature)"""
 KS_SQL = f"""WITH {KS_BODY}
 SELECT feature AS "column", CAST(n_ref AS BIGINT) AS n_ref, CAST(n_cur AS BIGINT) AS n_cur,
@@ -276,14 +274,14 @@ SELECT feature AS "column", CAST(n_ref AS BIGINT) AS n_ref, CAST(n_cur AS BIGINT
 
 def q_category_drift(spark, sf):
     rows = load(spark, sf, "events").withColumn(
-        "bucket", F.substring(F.get_json_object("props", "$.k"), 1, 1)
+        "bucket", F.get_json_object("props", "$.k")
     )
     ref, cur = rows.filter(F.col("ts") < MIDDLE), rows.filter(F.col("ts") >= MIDDLE)
     return shown(category_drift(ref, cur, ["event_type", "bucket"]))
 
 
 CATEGORY_SQL = f"""WITH {EVENTS}, b AS (SELECT event_type,
-    substr(regexp_extract(props, '([0-9]+)', 1), 1, 1) AS bucket, ts < TIMESTAMP '{MIDDLE}' AS old
+    regexp_extract(props, '([0-9]+)', 1) AS bucket, ts < TIMESTAMP '{MIDDLE}' AS old
     FROM ev),
   l AS (SELECT 'event_type' AS c, event_type AS v, old FROM b
     UNION ALL SELECT 'bucket', bucket, old FROM b),
@@ -291,15 +289,15 @@ CATEGORY_SQL = f"""WITH {EVENTS}, b AS (SELECT event_type,
   p AS (SELECT c, r, q, sum(r) OVER (PARTITION BY c) AS tr, sum(q) OVER (PARTITION BY c) AS tq FROM n),
   s AS (SELECT *, r / tr AS a, q / tq AS b FROM p)
 SELECT c AS "column", CAST(max(tr) AS BIGINT) AS n_ref, CAST(max(tq) AS BIGINT) AS n_cur,
-  round(sqrt(sum(a * ln(a / ((a + b) / 2)) + b * ln(b / ((a + b) / 2))) / 2), 6) AS jensen_shannon,
-  round(sum((q - a * tq) * (q - a * tq) / (a * tq)), 6) AS chi_square, count(*) AS n_categories,
-  sqrt(sum(a * ln(a / ((a + b) / 2)) + b * ln(b / ((a + b) / 2))) / 2) >= 0.1 AS drifted
+  round(sqrt(sum(CASE WHEN a > 0 THEN a * ln(a / ((a + b) / 2)) ELSE 0 END + CASE WHEN b > 0 THEN b * ln(b / ((a + b) / 2)) ELSE 0 END) / 2), 6) AS jensen_shannon,
+  round(sum((q - a * tq) * (q - a * tq) / (a * tq)) FILTER (a > 0), 6) AS chi_square, count(*) AS n_categories,
+  sqrt(sum(CASE WHEN a > 0 THEN a * ln(a / ((a + b) / 2)) ELSE 0 END + CASE WHEN b > 0 THEN b * ln(b / ((a + b) / 2)) ELSE 0 END) / 2) >= 0.1 AS drifted
 FROM s GROUP BY c"""
 
 
 def q_column_drift(spark, sf):
     ref, cur = halves(spark, sf)
-    return shown(column_drift(ref, cur, FEATURES[:3], ["field_id"]), 5)
+    return shown(column_drift(ref, cur, FEATURES, ["field_id"]), 5)
 
 
 DRIFT_SQL = f"""WITH {KS_BODY}, n AS (SELECT event_type AS v,

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from datetime import datetime
 
-from pyspark.ml.feature import StringIndexer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.schemas import FEATURE_COLS, KEY_COLS, TARGET
@@ -90,14 +89,15 @@ def encode_map(col: Column | str, codes: Mapping[str, int], default: int) -> Col
 
 
 def encode_sorted(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """Code labels by their alphabetical position. Meant for category columns (crop, region)."""
+    """Code labels by their alphabetical position; null stays null.
+
+    The distinct labels are ranked, a row each, and joined back: Spark broadcasts them if they are small.
+    """
     out = out or f"{col}_encoded"
-    indexer = StringIndexer(
-        inputCol=col, outputCol="_label_index", stringOrderType="alphabetAsc", handleInvalid="keep"
-    )
-    coded = indexer.fit(df.select(col)).transform(df)
-    known = F.when(F.col(col).isNotNull(), F.col("_label_index").cast("int"))
-    return coded.withColumn(out, known).drop("_label_index")
+    labels = df.select(F.col(col).alias("_label")).filter("_label is not null").distinct()
+    place = (F.row_number().over(Window.orderBy("_label")) - 1).cast("int")
+    coded = df.drop(out).join(labels.withColumn(out, place), F.col(col) == F.col("_label"), "left")
+    return coded.select(*[c for c in df.columns if c != out], out)
 
 
 # fixed values: constants of the linear grid approximation

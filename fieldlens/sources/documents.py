@@ -120,10 +120,9 @@ def flatten_station(
             F.filter(results, lambda r: r["datatype"] == name), F.lit(-1)
         )["value"]
 
-    rows = parsed.join(stations.select(station, "field_id"), station, "left")
-    return rows.select(
+    # five numbers per document meet the stations, not the documents
+    flat = parsed.select(
         station,
-        F.coalesce("field_id", F.lit("unknown")).alias("field_id"),
         F.unix_millis(at).alias("timestamp"),
         from_tenths(F.coalesce(reading("TMAX"), reading("TMIN"))).alias("temperature"),
         from_tenths(F.coalesce(reading("PRCP"), F.lit(0.0))).alias("precipitation"),
@@ -131,3 +130,9 @@ def flatten_station(
         from_tenths(reading("AWND")).alias("wind_speed"),
         F.lit(source).alias("source"),
     )
+    rows = flat.join(stations.select(station, "field_id"), station, "left")
+    return rows.select(
+        station,
+        F.coalesce("field_id", F.lit("unknown")).alias("field_id"),
+        *[c for c in flat.columns if c != station],
+    )
