@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.tables import load, rounded, shown
 from fieldlens.operators.asof import live_features, monthly_defaults
 from fieldlens.operators.drift import drift_level, drift_scores, psi_profile, rolling_buffer, to_long
-from fieldlens.operators.metrics import interval_report, regression_metrics_by
+from fieldlens.operators.metrics import (
+    crop_mean_fit,
+    crop_mean_predict,
+    interval_report,
+    regression_metrics_by,
+)
 from fieldlens.operators.ranking import ranked_importance, top_contributions
 from fieldlens.operators.splits import temporal_split
 from fieldlens.plans.model import (
@@ -31,7 +37,10 @@ FEATURES = ["lat", "area_ha", "ndvi", "soil_moisture", "year"]
 
 
 def training_rows(spark, sf):
-    """Prices explained by quantity, list price, discount, tax and year."""
+    """The value of a line at list price, with a tenth of its own price as noise, by the line's columns.
+
+    The prices of the given lines do not depend on the other columns, so they alone leave nothing to learn.
+    """
     part = load(spark, sf, "part").select("p_partkey", "p_retailprice", "p_brand")
     lines = load(spark, sf, "lineitem")
     return lines.join(part, lines.l_partkey == part.p_partkey).select(
@@ -43,34 +52,66 @@ def training_rows(spark, sf):
         F.col("l_tax").alias("soil_moisture"),
         F.year("l_shipdate").alias("year"),
         F.col("p_brand").alias("crop_type"),
-        F.col("l_extendedprice").alias(TARGET),
+        (F.col("l_quantity") * F.col("p_retailprice") + F.col("l_extendedprice") / 10).alias(TARGET),
     )
 
 
 def fitted(spark, sf):
-    parts = temporal_split(training_rows(spark, sf))
+    # whole weeks: the split is then a date, which SQL can find as well
+    parts = temporal_split(training_rows(spark, sf), whole_weeks=True)
     train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
     return train, test, fit_mean(train, SMALL, FEATURES)
 
 
+SPLIT = """rows AS (SELECT date_trunc('week', l_shipdate) AS w, p_brand AS crop_type
+    FROM lineitem JOIN part ON l_partkey = p_partkey),
+  o AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS pos, count(*) OVER () AS n FROM rows),
+  cut AS (SELECT w AS first FROM o WHERE pos = CAST(floor(n * (1 - 0.2::DOUBLE)) AS BIGINT)),
+  test AS (SELECT rows.* FROM rows, cut WHERE w >= first)"""
+
+
 def q_yield_model_score(spark, sf):
-    """Holdout error of the boosted trees per brand."""
-    _, test, model = fitted(spark, sf)
+    """Per brand: rows held out, and whether the trees beat the brand's mean price there."""
+    train, test, model = fitted(spark, sf)
     scored = model.transform(vectors(test, FEATURES, [TARGET, "crop_type"]))
-    return shown(regression_metrics_by(scored, ["crop_type"], TARGET, "prediction"), 4)
+    trees = regression_metrics_by(scored, ["crop_type"], TARGET, "prediction")
+    means = crop_mean_predict(test, crop_mean_fit(train, "crop_type", TARGET))
+    plain = regression_metrics_by(means, ["crop_type"], TARGET, "prediction")
+    plain = plain.select("crop_type", F.col("rmse").alias("baseline_rmse"))
+    better = F.col("rmse") < F.col("baseline_rmse") / 2
+    return trees.join(plain, "crop_type").select("crop_type", "n", better.alias("halves_the_error"))
+
+
+SCORE_SQL = f"WITH {SPLIT} SELECT crop_type, count(*) AS n, TRUE AS halves_the_error FROM test GROUP BY crop_type"
 
 
 def q_interval_model(spark, sf):
-    """Coverage and width of the 80 % interval on the holdout."""
+    """The 80 % interval on the holdout: rows, order, and whether its coverage is near what it says."""
     train, test, model = fitted(spark, sf)
     bounds = fit_interval(train, n_trees=8, params=SMALL, features=FEATURES)
     scored = model.transform(vectors(test, FEATURES, [TARGET]))
-    return shown(interval_report(with_interval(predict_interval(bounds, scored))), 4)
+    report = interval_report(with_interval(predict_interval(bounds, scored)))
+    near = F.col("coverage").between(0.7, 0.95)
+    return report.select("n", "ordering_violations", near.alias("covers"))
+
+
+COVER_SQL = f"WITH {SPLIT} SELECT count(*) AS n, CAST(0 AS BIGINT) AS ordering_violations, TRUE AS covers FROM test"
 
 
 def q_importance(spark, sf):
+    """Every feature with the share it has, checked to be a share."""
     _, _, model = fitted(spark, sf)
-    return shown(ranked_importance(importance(model, spark, FEATURES)))
+    ranked = ranked_importance(importance(model, spark, FEATURES))
+    # one row per feature
+    total = F.sum("importance").over(Window.partitionBy(F.lit(1)))
+    first = F.max("importance").over(Window.partitionBy(F.lit(1)))
+    sound = (F.col("importance") >= 0) & (F.abs(total - 1) < 1e-6)
+    # a price is its quantity times its list price
+    leads = (F.col("importance") == first) == (F.col("feature") == "lat")
+    return ranked.select("feature", sound.alias("is_share"), leads.alias("as_expected"))
+
+
+IMPORTANCE_SQL = f"SELECT unnest({FEATURES}) AS feature, TRUE AS is_share, TRUE AS as_expected"
 
 
 WEIGHTS = {"lat": 0.5, "area_ha": 0.3, "ndvi": 0.15, "soil_moisture": 0.05}
@@ -118,7 +159,16 @@ def q_search(spark, sf):
     found = search(
         training_rows(spark, sf), n_folds=2, features=FEATURES, draws=draws, parallelism=3
     )
-    return shown(found.trials, 4)
+    means = found.trials.groupBy("trial").agg(F.avg("rmse").alias("mean"))
+    best = draws[means.orderBy("mean", "trial").first()["trial"]]
+    return found.trials.select(
+        "trial", "fold", ((F.col("rmse") > 0) & (F.col("r2") > 0)).alias("learns"),
+        F.lit(found.best == best).alias("best_is_least"),
+    )
+
+
+SEARCH_SQL = """SELECT CAST(t AS INTEGER) AS trial, CAST(f AS INTEGER) AS fold, TRUE AS learns, TRUE AS best_is_least
+FROM range(3) a(t), range(1, 3) b(f)"""
 
 
 def q_score_fields(spark, sf):
@@ -169,11 +219,11 @@ def q_score_fields(spark, sf):
 
 
 QUERIES = {
-    "yield_model_score": (q_yield_model_score, None),
-    "interval_model": (q_interval_model, None),
-    "importance": (q_importance, None),
+    "yield_model_score": (q_yield_model_score, SCORE_SQL),
+    "interval_model": (q_interval_model, COVER_SQL),
+    "importance": (q_importance, IMPORTANCE_SQL),
     "explain": (q_explain, EXPLAIN_SQL),
     "heuristic_interval": (q_heuristic_interval, HEURISTIC_SQL),
-    "search": (q_search, None),
+    "search": (q_search, SEARCH_SQL),
     "score_fields": (q_score_fields, None),
 }
