@@ -186,6 +186,16 @@ def _in_length(percent: int):
     return 100 * least >= percent * most
 
 
+def _reach(percent: int):
+    """The largest set with which this one can link if the shingle at `place` is the first the two have in common.
+
+    Such a pair has at most the n - place shingles from there on in common, and needs percent / (100 + percent) of
+    both sizes together. Every link is found at its first common shingle, so others need not pass.
+    """
+    rest = F.col("n") - F.col("place")
+    return F.floor(((100 + percent) * rest - percent * F.col("n")) / percent)
+
+
 def _may_link(percent: int):
     """Whether a pair that shares `shares` of its first shingles can reach the threshold.
 
@@ -201,8 +211,8 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
 
     Two sets link when 100 * intersection >= percent * union. Texts with equal sets are one class and are not compared.
     First each class meets one other, that stands first among those of its length for most of its first shingles; then,
-    for every shingle that classes of different components share, all pairs across these components are counted and
-    tested. Pairs within a component need no test, so a large group of near copies costs what its rows cost.
+    for every shingle that classes of different components share, all pairs across these components that may have it
+    as their first common one are tested. Pairs within a component need no test, so a large group of near copies costs what its rows cost.
 
     Texts without words have n_shingles 0 and are linked with nothing. A row without an id is linked like others; its
     component is the smallest id it reaches, or null. Rows that repeat an id are separate nodes. Extra columns are
@@ -231,7 +241,7 @@ def class_links(docs, rows: DataFrame, classes: DataFrame, levels: np.ndarray, k
         broadcast_if_small(classes.withColumnRenamed("class", "_class")),
         (F.col("class") == F.col("_class")) & F.col("doc_id").eqNullSafe(F.col("smallest")),
     )
-    postings = keys.select("class", "n", F.explode("first").alias("shingle")).repartition("shingle")
+    postings = keys.select("class", "n", F.posexplode("first").alias("place", "shingle")).repartition("shingle")
     band = F.floor(F.log(F.col("n")) / np.log(100 / percent)).cast("int")
     within, over = Window.partitionBy("shingle", "band"), Window.partitionBy("shingle")
     postings = (
@@ -240,7 +250,7 @@ def class_links(docs, rows: DataFrame, classes: DataFrame, levels: np.ndarray, k
         .withColumn("least", F.min("class").over(over))
         .withColumn("most", F.max("class").over(over))
         .filter("least < most")
-        .select("shingle", "class", "n", "hub")
+        .select("shingle", "class", "n", "hub", _reach(percent).alias("reach"))
     )
     postings = stored(postings)
 
@@ -264,14 +274,16 @@ def class_links(docs, rows: DataFrame, classes: DataFrame, levels: np.ndarray, k
     placed = postings.drop("hub").join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
     across = placed.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"))
     placed = stored(placed.join(across.filter("least < most").select("shingle"), "shingle"))
-    roots = placed.select("shingle", "root").distinct()
-    meet = roots.withColumnRenamed("root", "root_a").join(roots.withColumnRenamed("root", "root_b"), "shingle")
-    meet = meet.filter("root_a < root_b")
-    a = placed.select("shingle", F.col("root").alias("root_a"), F.col("class").alias("a"), F.col("n").alias("n_a"))
-    b = placed.select("shingle", F.col("root").alias("root_b"), F.col("class").alias("b"), F.col("n").alias("n_b"))
-    pairs = meet.join(a, ["shingle", "root_a"]).join(b, ["shingle", "root_b"]).filter(_in_length(percent))
-    pairs = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shares"))
-    pairs = stored(pairs.filter(_may_link(percent)).drop("shares"))
+    # a component is one row per shingle, with what its members allow at most
+    roots = placed.groupBy("shingle", "root").agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
+    side = lambda df, x: df.withColumnsRenamed({c: f"{c}_{x}" for c in df.columns if c != "shingle"})
+    in_reach = (F.col("n_a") <= F.col("reach_b")) & (F.col("n_b") <= F.col("reach_a"))
+    meet = side(roots, "a").join(side(roots, "b"), "shingle").filter((F.col("root_a") < F.col("root_b")) & in_reach)
+    meet = meet.select("shingle", "root_a", "root_b")
+    a, b = side(placed, "a"), side(placed, "b")
+    pairs = meet.join(a, ["shingle", "root_a"]).join(b, ["shingle", "root_b"]).filter(in_reach)
+    pairs = pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "n_a", "n_b")
+    pairs = stored(pairs.distinct())
     return first.union(linked(docs, pairs, owners, levels, k, percent))
 
 
