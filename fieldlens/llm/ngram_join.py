@@ -283,7 +283,13 @@ def class_links(docs, rows: DataFrame, classes: DataFrame, levels: np.ndarray, k
     a, b = side(placed, "a"), side(placed, "b")
     pairs = meet.join(a, ["shingle", "root_a"]).join(b, ["shingle", "root_b"]).filter(in_reach)
     pairs = pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "n_a", "n_b")
-    pairs = stored(pairs.distinct())
+    pairs = pairs.distinct()
+    # all first shingles that a pair of different components shares are in `placed`
+    own = stored(placed.groupBy("class").agg(F.collect_set("shingle").alias("own")))
+    pairs = pairs.join(own.withColumnsRenamed({"class": "a", "own": "own_a"}), "a")
+    pairs = pairs.join(own.withColumnsRenamed({"class": "b", "own": "own_b"}), "b")
+    pairs = pairs.withColumn("shares", F.size(F.array_intersect("own_a", "own_b"))).drop("own_a", "own_b")
+    pairs = stored(pairs.filter(_may_link(percent)).drop("shares"))
     return first.union(linked(docs, pairs, owners, levels, k, percent))
 
 
