@@ -23,7 +23,7 @@ SHINGLE = 5
 PERCENT = 75
 FRAGMENTS = 8
 # cells of the sketch: its memory in a task, and what is broadcast; more input only makes the order coarser
-MIN_CELL_BITS, MAX_CELL_BITS = 14, 24
+MIN_CELL_BITS, MAX_CELL_BITS = 14, 23
 WORDS_PER_CELL = 8
 SKETCH_PARTS = 64
 

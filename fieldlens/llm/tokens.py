@@ -6,6 +6,8 @@ no words. Hashes have 64 bits: two different words, or windows of words, share o
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,3 +177,11 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES
             total, start = 0, i
         total += size
     yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
