@@ -146,6 +146,37 @@ def test_probabilities_of_a_restaurant_sum_to_one(spark):
         assert abs(total - 1) < 1e-9
 
 
+def test_every_preceding_word_has_its_own_restaurant(spark):
+    # more contexts than any fixed number of classes would keep apart: each has one follower
+    rows = [(k, " ".join(f"a{j} b{j}" for j in range(k * 20, k * 20 + 20)) + " ") for k in range(1000)]
+    rows = [(k, t * 6) for k, t in rows]
+    df = spark.createDataFrame([*rows, (-1, "a7 b7"), (-2, "a7 b9")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pitman_yor.with_scores(df, F.col("doc_id") < 0).collect()}
+    # b7 takes nearly all of the restaurant of a7, however many other contexts there are
+    assert got[-1].score - got[-2].score > 4.5
+    likely = [r.score / r.n_tokens for r in got.values() if r.doc_id >= 0]
+    assert min(likely) > -0.25
+
+
+def test_scores_do_not_depend_on_which_totals_are_shuffled(spark, scored, monkeypatch):
+    df = spark.createDataFrame(lm_rows(), "doc_id long, text string")
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(pitman_yor, "HOT_WORDS", 7)
+    monkeypatch.setattr(pitman_yor, "HOT_CONTEXTS", 5)
+    key = lambda r: (str(r.doc_id), r.n_tokens)
+    rows = pitman_yor.with_scores(df, shared.fold(F.col("doc_id")) == 1).collect()
+    for a, b in zip(sorted(rows, key=key), sorted(scored, key=key), strict=True):
+        assert key(a) == key(b) and abs(a.score - b.score) < 1e-6
+
+
+def test_draws_have_the_mean_and_spread_of_a_binomial():
+    draws = pitman_yor.Draws(0, 0, np.arange(20_000))
+    for n, p in ((8, 0.3), (50, 0.9), (4000, 0.4), (9, 1.0), (9, 0.0)):
+        x = draws.at(np.arange(20_000), n).binomial(np.full(20_000, n), np.full(20_000, p))
+        assert abs(x.mean() - n * p) < 5 * math.sqrt(n * p * (1 - p) / 20_000) + 1e-9
+        assert abs(x.var() - n * p * (1 - p)) < 0.06 * n * p * (1 - p) + 1e-9
+
+
 def test_seating_follows_the_restaurant_process():
     rng = np.random.default_rng(1)
     customers = np.full(4000, 300)
