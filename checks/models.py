@@ -31,8 +31,6 @@ from fieldlens.plans.model import (
 from fieldlens.plans.scoring import score
 from fieldlens.schemas import TARGET
 
-# few and shallow trees keep the check short; the operators' defaults are unchanged
-SMALL = {"n_estimators": 8, "max_depth": 5, "learning_rate": 0.3}
 FEATURES = ["lat", "area_ha", "ndvi", "soil_moisture", "year"]
 
 
@@ -60,7 +58,7 @@ def fitted(spark, sf):
     # whole weeks: the split is then a date, which SQL can find as well
     parts = temporal_split(training_rows(spark, sf), whole_weeks=True)
     train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
-    return train, test, fit_mean(train, SMALL, FEATURES)
+    return train, test, fit_mean(train, features=FEATURES)
 
 
 SPLIT = """rows AS (SELECT date_trunc('week', l_shipdate) AS w, p_brand AS crop_type
@@ -88,7 +86,7 @@ SCORE_SQL = f"WITH {SPLIT} SELECT crop_type, count(*) AS n, TRUE AS halves_the_e
 def q_interval_model(spark, sf):
     """The 80 % interval on the holdout: rows, order, and whether its coverage is near what it says."""
     train, test, model = fitted(spark, sf)
-    bounds = fit_interval(train, n_trees=8, params=SMALL, features=FEATURES)
+    bounds = fit_interval(train, features=FEATURES)
     scored = model.transform(vectors(test, FEATURES, [TARGET]))
     report = interval_report(with_interval(predict_interval(bounds, scored)))
     near = F.col("coverage").between(0.7, 0.95)
@@ -182,7 +180,7 @@ def q_score_fields(spark, sf):
             "lon": F.lit(0.0),
         }
     )
-    model = fit_mean(renamed, {**SMALL, "n_estimators": 4})
+    model = fit_mean(renamed)
     fields = load(spark, sf, "customer").select(
         F.concat(F.lit("F"), "c_custkey").alias("field_id"),
         F.col("c_name").alias("name"),
