@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
-from conftest import plan
+from helpers import plan
 from pyspark.sql import functions as F
 
 from fieldlens.operators.metrics import interval_report, regression_metrics

@@ -1,7 +1,7 @@
 from datetime import datetime
 
 import pytest
-from conftest import plan, rows
+from helpers import plan, rows
 from pyspark.sql import functions as F
 
 from fieldlens.operators.quality import (

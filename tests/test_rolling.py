@@ -1,7 +1,7 @@
 from datetime import datetime
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from fieldlens.operators.rolling import gdd, per_day, rate, rolling_sum
 from fieldlens.operators.telemetry import (

@@ -1,6 +1,6 @@
 from datetime import date, datetime
 
-from conftest import plan, rows
+from helpers import plan, rows
 from pyspark.sql import functions as F
 
 from fieldlens.operators import assemble as a

@@ -1,7 +1,7 @@
 import math
 from datetime import datetime
 
-from conftest import plan, rows
+from helpers import plan, rows
 
 from fieldlens.operators.assemble import assemble_weekly, enrich, unknown_fields
 from fieldlens.operators.weekly import (
