@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from fieldlens.llm.decontaminate import op6_decontaminate
 from fieldlens.llm.line_dedup import op1_line_dedup
+from fieldlens.llm.merkle import op11_merkle_manifest
 from fieldlens.llm.mixing import op7_mix_sources
 from fieldlens.llm.ngram_join import op4_ngram_jaccard
 from fieldlens.llm.oracle import ORACLE_SQL
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_lm_scores": op8_lm_scores,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
