@@ -9,6 +9,7 @@ from fieldlens.llm.mixing import op7_mix_sources
 from fieldlens.llm.ngram_join import op4_ngram_jaccard
 from fieldlens.llm.oracle import ORACLE_SQL
 from fieldlens.llm.pitman_yor import op8_lm_scores
+from fieldlens.llm.prefix_trie import op12_conversation_trie
 from fieldlens.llm.quality import op9_quality_rules
 from fieldlens.llm.substring_dedup import op5_substring_dedup
 from fieldlens.llm.token_count import op10_token_counts
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

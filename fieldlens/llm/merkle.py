@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldlens.llm.oracle import LOWER, UPPER
-from fieldlens.llm.shared import broadcast_if_small, documents, fold, stored
+from fieldlens.llm.shared import documents, fold, ranked, stored
 
 ARITY = 8
 # nodes of one window; a multiple of ARITY, so that no run is cut
@@ -25,33 +25,6 @@ def leaf(**columns: Column) -> Column:
     return digest(*[F.coalesce(F.concat(F.octet_length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in text])
 
 
-def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Add `pos`, from 0, in the order of the columns within each `key`, and `n`, the rows of the key.
-
-    Rows are dealt in ranges and numbered there; the rows of a key in earlier ranges are added. So a key may hold any
-    share of the rows. Nulls come first; rows equal in all columns are numbered anyhow.
-    """
-    # ties are dealt over ranges as well; rows are written first, since ranges are found by a pass of their own
-    spread = stored(rows).withColumn("_tie", F.monotonically_increasing_id())
-    spread = spread.repartitionByRange("key", *order, "_tie").sortWithinPartitions("key", *order).drop("_tie")
-    # the number of the partition above the row's place in it
-    kept = stored(spread.withColumn("_row", F.monotonically_increasing_id()))
-    part = F.shiftright("_row", 33).alias("_part")
-    found = kept.groupBy("key", part).agg(F.count("*").alias("_rows"), F.min("_row").alias("_first"))
-    # one row for each key in each partition it reaches: a key has no more rows here than there are partitions
-    earlier = Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumns(
-        {
-            "_before": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)),
-            "n": F.sum("_rows").over(Window.partitionBy("key")),
-        }
-    )
-    joined = kept.withColumn("_part", part).join(broadcast_if_small(found), ["key", "_part"])
-    return joined.withColumn("pos", F.col("_before") + F.col("_row") - F.col("_first")).drop(
-        "_part", "_row", "_rows", "_first", "_before"
-    )
-
-
 def with_siblings(nodes: DataFrame) -> DataFrame:
     """Add `left` and `right`, the digests of the other nodes of a node's run, put together in order.
 

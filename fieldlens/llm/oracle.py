@@ -115,6 +115,95 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
 FROM b"""
 
+
+def crc32(x: str) -> str:
+    """Unsigned crc32 of an ASCII string: a byte at a time, bit by bit."""
+    step = "lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = f"lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), {step})"
+    codes = f"list_transform(string_split({x}, ''), lambda z: CAST(ascii(z) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), {byte}), 4294967295)"
+
+
+def field(x: str) -> str:
+    return f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || {x}, '-')"
+
+
+def merkle(levels: int = 8, top: int = 3) -> str:
+    """Trees of eight children, level by level: for up to 8**levels documents of a language, 8**top languages."""
+    leaf = lambda text: f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+    def tree(name, depth):
+        """Nodes (k, pos, d, n) of each level, with left and right siblings."""
+        run = "PARTITION BY k, pos // 8 ORDER BY pos ROWS BETWEEN"
+        for i in range(depth + 1):
+            yield f"""{name}{i}s AS (SELECT *, coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{i})"""
+            yield f"""{name}{i + 1} AS (
+  SELECT k, pos // 8 AS pos, (n + 7) // 8 AS n, CASE WHEN n = 1 THEN d ELSE sha256(d || r) END AS d
+  FROM {name}{i}s WHERE pos % 8 = 0)"""
+
+    parts = [
+        f"""rows_ AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS k, {leaf("text")} AS leaf,
+    CASE WHEN {crc32("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")}
+      ELSE {leaf("text")} END AS claimed FROM documents)""",
+        """a0 AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n, leaf AS d
+  FROM rows_)""",
+        *tree("a", levels),
+        f"""b0 AS (
+  SELECT 0 AS k, k AS lang, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS n, d FROM a{levels + 1})""",
+        *tree("b", top),
+        "p0 AS (SELECT doc_id, k, leaf, pos, claimed AS f, '' AS proof FROM a0)",
+    ]
+    for i in range(levels + top + 1):
+        at, level = f"a{i}s" if i < levels else f"b{i - levels}s", i if i < levels else i - levels
+        place = f"x.k = p.k AND x.pos = p.pos // {8**level}"
+        if i == levels:
+            parts.append(
+                f"""p{i}t AS (SELECT p.doc_id, p.leaf, p.f, p.proof, b.d AS subroot, b.pos, 0 AS k
+  FROM p{i} p JOIN b0 b ON b.lang = p.k)"""
+            )
+        parts.append(
+            f"""p{i + 1} AS (SELECT p.* EXCLUDE (f, proof), CASE WHEN x.n = 1 THEN p.f ELSE sha256(x.l || p.f || x.r) END AS f,
+    p.proof || x.l || x.r AS proof
+  FROM p{i}{"t" if i == levels else ""} p JOIN {at} x ON {place})"""
+        )
+    last = f"p{levels + top + 1}"
+    return f"""WITH {", ".join(parts)}
+SELECT doc_id, leaf, subroot, b.d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = b.d AS verified
+FROM {last} JOIN b{top + 1} b ON true"""
+
+
+TRIE = rf"""
+WITH t AS (
+  SELECT conv_id, turn, length(coalesce(text, '')) AS size,
+    sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, list(g ORDER BY turn NULLS FIRST, g) AS gs, list(size ORDER BY turn NULLS FIRST, g) AS sizes,
+    {crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM t GROUP BY conv_id),
+r AS (
+  SELECT c.conv_id, coalesce(b.gs, [])[1:c.h] || c.gs[c.h + 1:] AS gs,
+    coalesce(b.sizes, [])[1:c.h] || c.sizes[c.h + 1:] AS sizes
+  FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100),
+m AS (
+  SELECT conv_id, d, array_to_string(gs[1:d], ',') AS key, CASE WHEN d > 0 THEN array_to_string(gs[1:d - 1], ',') END AS up,
+    CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size, d = len(gs) AS ends
+  FROM (SELECT *, unnest(range(0, len(gs) + 1)) AS d FROM r)),
+n AS (
+  SELECT key, up, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS own,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM m GROUP BY key, up, d),
+k AS (SELECT up, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+a AS (SELECT m.key AS top, n.own, k.up IS NULL AS leaf FROM n LEFT JOIN k ON k.up = n.key
+  JOIN m ON m.conv_id = n.conv_id AND m.d <= n.d),
+s AS (SELECT top, count(*) FILTER (leaf) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens FROM a GROUP BY top)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+  saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.top = n.key LEFT JOIN k ON k.up = n.key LEFT JOIN n p ON p.key = n.up"""
+
+
 ORACLE_SQL = {
     "op1_line_dedup": LINE_DEDUP,
     "op2_warc_bundles": WARC,
@@ -122,4 +211,6 @@ ORACLE_SQL = {
     "op5_substring_dedup": SUBSTRING_DEDUP,
     "op6_decontaminate": DECONTAMINATE,
     "op9_quality_rules": QUALITY,
+    "op11_merkle_manifest": merkle(),
+    "op12_conversation_trie": TRIE,
 }

@@ -131,3 +131,81 @@ def quality(text):
         len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered),
         len(w) < 50 or 100 * len(covered) > 50 * len(w),
     )
+
+
+def rebuilt(rows):
+    """{conv_id: [(role, text)]} of (conv_id, turn, role, text) rows."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            tie = sha(f"{len(role.encode())}:{role}{text}")[:32]
+            own[c].append(((turn is not None, turn or 0), tie, (role, text)))
+    own = {c: [t for *_, t in sorted(v)] for c, v in own.items()}
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        out[c] = own.get(c - c % 100, [])[:h] + turns[h:]
+    return out
+
+
+def trie(conversations):
+    members, ends = defaultdict(list), defaultdict(list)
+    for c, turns in conversations.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+        ends[tuple(turns)].append(c)
+    children = Counter(k[:-1] for k in members if k)
+    leaves, saved = Counter(), Counter()
+    for k, m in members.items():
+        for d in range(len(k) + 1):
+            leaves[k[:d]] += not children[k]
+            saved[k[:d]] += (len(m) - 1) * len(k[-1][1]) if k else 0
+    return [
+        (
+            min(m), len(k), min(members[k[:-1]]) if k else None, len(m), children[k], leaves[k], saved[k],
+            sha(",".join(map(str, sorted(ends[k])))),
+        )
+        for k, m in members.items()
+    ]
+
+
+def manifest(rows, arity=8):
+    """{(doc_id, leaf): (subroot, root, proof, folded_root)} of rows (doc_id, source, lang, n_chars, text)."""
+    h = lambda *parts: sha("".join(parts))
+    leaf = lambda r: h(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in r])
+
+    def tree(nodes):
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            last = levels[-1]
+            levels.append([h(*last[i : i + arity]) for i in range(0, len(last), arity)])
+        return levels
+
+    def siblings(levels, i):
+        for level in levels[:-1]:
+            start = i // arity * arity
+            yield level[start:i], level[i + 1 : start + arity]
+            i //= arity
+
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[2]].append(r)
+    langs = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    for x in langs:
+        groups[x].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+    trees = {x: tree([leaf(r) for r in groups[x]]) for x in langs}
+    top = tree([trees[x][-1][0] for x in langs])
+    out = []
+    for k, x in enumerate(langs):
+        for i, r in enumerate(groups[x]):
+            path = [*siblings(trees[x], i), *siblings(top, k)]
+            claimed = r[4]
+            if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 3 == 0 and claimed:
+                claimed = claimed.translate(SMALL)
+            folded = leaf((*r[:4], claimed))
+            for left, right in path:
+                folded = h(*left, folded, *right)
+            proof = h(*[y for left, right in path for y in left + right])
+            out.append((r[0], leaf(r), trees[x][-1][0], top[-1][0], proof, folded, folded == top[-1][0]))
+    return out
