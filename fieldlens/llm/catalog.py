@@ -8,6 +8,7 @@ from fieldlens.llm.merkle import op11_merkle_manifest
 from fieldlens.llm.mixing import op7_mix_sources
 from fieldlens.llm.ngram_join import op4_ngram_jaccard
 from fieldlens.llm.oracle import ORACLE_SQL
+from fieldlens.llm.pii import op13_personal_data
 from fieldlens.llm.pitman_yor import op8_lm_scores
 from fieldlens.llm.prefix_trie import op12_conversation_trie
 from fieldlens.llm.quality import op9_quality_rules
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_personal_data": op13_personal_data,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
