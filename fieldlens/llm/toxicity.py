@@ -19,6 +19,8 @@ BITS = 18
 # about so many labelled rows are learned from, drawn by a hash of the id
 TRAIN_ROWS = 20_000
 SHARDS = 4
+PIECE_BITS = 6
+PIECES = 1 << PIECE_BITS
 ROUNDS = 8
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 5.0, 0.1
 
@@ -66,9 +68,29 @@ class Ftrl:
         self.n[at] = after
 
 
+STATE = "shard int, piece int, z binary, n binary"
+
+
 def _state(shard: int, model: Ftrl) -> pa.RecordBatch:
-    columns = [pa.array([shard], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (model.z, model.n)]]
-    return pa.RecordBatch.from_arrays(columns, ["shard", "z", "n"])
+    """The state of a shard in pieces; those that nothing has touched are left out."""
+    n = model.n.reshape(PIECES, -1)
+    touched = np.flatnonzero(n.any(axis=1))
+    columns = [pa.array(np.full(len(touched), shard), pa.int32()), pa.array(touched, pa.int32())]
+    for x in (model.z.reshape(PIECES, -1), n):
+        columns.append(pa.array([x[i].tobytes() for i in touched], pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, ["shard", "piece", "z", "n"])
+
+
+def averaged(states: DataFrame, shards: int) -> DataFrame:
+    """The mean of a piece over all shards, made in tasks; a group has a row per shard."""
+
+    def mean(group: pa.Table) -> pa.Table:
+        group = group.sort_by("shard")
+        sums = [sum(map(np.frombuffer, group.column(c).to_pylist())) / shards for c in ("z", "n")]
+        columns = [group.column("piece").slice(0, 1), *[pa.array([x.tobytes()], pa.binary()) for x in sums]]
+        return pa.table(columns, names=["piece", "z", "n"])
+
+    return states.groupBy("piece").applyInArrow(mean, "piece int, z binary, n binary")
 
 
 def sigmoid(x):
@@ -111,9 +133,12 @@ def train(rows: DataFrame, bits: int = BITS, shards: int = SHARDS, rounds: int =
     bias is the smoothed log odds.
     """
     shard = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(shards)).cast("int")
-    rows = rows.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", "doc_id")
-    rows = cut_lineage(rows)
-    total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    # one shard to a task
+    rows = rows.withColumn("shard", shard).repartitionById(shards, F.col("shard"))
+    rows = cut_lineage(rows.sortWithinPartitions("shard", "doc_id"))
+    total, toxic, held = rows.agg(
+        F.count("*"), F.coalesce(F.sum("label"), F.lit(0)), F.count_distinct("shard")
+    ).first()
     bias = math.log((toxic + 0.5) / (total - toxic + 0.5))
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     for _ in range(rounds if 0 < toxic < total else 0):
@@ -134,12 +159,12 @@ def train(rows: DataFrame, bits: int = BITS, shards: int = SHARDS, rounds: int =
             if model is not None:
                 yield _state(shard, model)
 
-        # one row of 2 * 2**bits numbers per shard, however many documents there are
-        states = rows.mapInArrow(learn, "shard int, z binary, n binary").collect()
-        states.sort(key=lambda r: r["shard"])
-        z = sum(np.frombuffer(r["z"]) for r in states) / len(states)
-        n = sum(np.frombuffer(r["n"]) for r in states) / len(states)
-        shared.unpersist()
+        # at most 2 * 2**bits numbers, however many documents and shards there are
+        for r in averaged(rows.mapInArrow(learn, STATE), held).collect():
+            own = slice(r["piece"] << bits >> PIECE_BITS, r["piece"] + 1 << bits >> PIECE_BITS)
+            z[own], n[own] = np.frombuffer(r["z"]), np.frombuffer(r["n"])
+        shared.destroy()
+    tokens.give_back()
     w = Ftrl(bits, bias, z, n).weights()
     at = np.flatnonzero(w)
     return {"bias": bias, "at": at, "weight": w[at], "bits": bits}
