@@ -275,8 +275,39 @@ def test_rules_go_by_rejection_per_cost():
 
 
 def test_the_main_path_is_native(docs):
-    plan = quality.cascade(docs)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    for found in (quality.cascade(docs), quality.judged(docs), mixing.mix(docs)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_the_query_stops_at_the_first_rejection(spark, docs, corpus, clash):
+    """A rule that fails on rows which an earlier rule rejects is never run there."""
+    broken = quality.Rule("broken", ("n_words", "n_lines"), lambda n, x: F.when(n < 50, F.raise_error(F.lit("run"))).otherwise(x < 0))
+    known = quality.counts("text") | {c: F.col(c) for c in quality.BASE_COUNTS}
+    order = [*quality.BASE_RULES, broken]
+    found = quality.with_counts(docs).withColumn("rejected_by", quality.verdict(order, known)).collect()
+    assert {r.doc_id for r in found if r.rejected_by} == {i for i, t, _ in corpus if brute.quality(t)[5]}
+    got = {r.doc_id: r for r in quality.judged(clash(docs)).collect()}
+    for i, text, _ in corpus:
+        assert tuple(got[i][c] for c in quality.BASE_COUNTS) == brute.quality(text)[:5]
+    assert quality.judged(docs.limit(0)).collect() == []
+
+
+def test_rules_have_a_cost_of_their_own(docs):
+    twice = docs.unionAll(docs).unionAll(docs)
+    found = {e["rule"].name: e for e in quality.estimate(twice)}
+    assert all(e["cost"] > 0 and 0 <= e["rejects"] <= 1 for e in found.values())
+    # windows of all words take far longer than one pass over the letters
+    assert found["repeated_words"]["cost"] > 2 * found["capitals"]["cost"]
+    assert [e["rejects"] for e in quality.estimate(docs.limit(0))] == [0.0] * len(quality.RULES)
+
+
+def test_windows_are_compared_by_whole_hashes(spark):
+    """A very long text without any repeated window has none, however many windows there are."""
+    text = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, text), (2, text + " w5 w6 w7")]
+    found = quality.with_counts(spark.createDataFrame(rows, "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [r.n_repeat_words for r in found] == [0, 6]
 
 
 # --- token counts ----------------------------------------------------------------------
