@@ -30,6 +30,8 @@ HOT_WORDS = 512
 # text whose words make up a bucket, and text that a task counts or looks up at once
 BUCKET_BYTES = 16 << 20
 GROUP_BYTES = 8 << 20
+# pairs that a bucket takes in before it adds them up
+MERGE_PAIRS = 1 << 19
 SWEEPS, BURN_IN = 3, 1
 STRENGTH = (1.0, 1.0)
 SEATED_SINGLY = 64
@@ -103,18 +105,33 @@ def groups(batches, size: int = GROUP_BYTES):
         yield held
 
 
+def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and for each value its place among them in 32 bits."""
+    order = np.argsort(x, kind="stable").astype(np.int32)
+    ordered = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    at = np.empty(len(x), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], at
+
+
 def dealt(word: np.ndarray, context: np.ndarray, buckets: int):
     """(bucket, places of its tokens in order of word and context) for every bucket that has some."""
     if not len(word):
         return
     # numbers in the order of bucket and word; a context's order is that of its hash
-    words, w = np.unique(word, return_inverse=True)
-    contexts, c = np.unique(context, return_inverse=True)
-    bucket = (words % np.uint64(buckets)).astype(np.int64)
+    words, w = places(word)
+    bucket = (words % np.uint64(buckets)).astype(np.int32)
     by = np.argsort(bucket, kind="stable")
     rank = np.empty(len(words), np.int64)
     rank[by] = np.arange(len(words))
-    pair = rank[w] * len(contexts) + c
+    pair = rank[w]
+    del w
+    contexts, c = places(context)
+    pair *= len(contexts)
+    pair += c
+    del c
     order = np.argsort(pair, kind="stable")
     names, starts = np.unique(bucket[by], return_index=True)
     cuts = np.searchsorted(pair[order], starts[1:] * len(contexts))
@@ -158,10 +175,11 @@ def pair_counts(docs: DataFrame, buckets: int) -> DataFrame:
     def count(batches):
         for group in groups(batches):
             parts = [token_rows(p.column("text")) for p in group]
-            word, context = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
             learned = np.concatenate(
                 [~p.column("held_out").to_numpy(zero_copy_only=False).astype(bool)[x[2]] for p, x in zip(group, parts, strict=True)]
-            ).astype(np.int64)
+            ).astype(np.int32)
+            word, context = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            del parts
             for bucket, at in dealt(word, context, buckets):
                 w, c, n = summed(word[at], context[at], learned[at], ordered=True)
                 yield _row(bucket, 0, 0, pack_pairs(w, c), pack(n.astype(np.uint32)))
@@ -203,7 +221,7 @@ def pair_counts(docs: DataFrame, buckets: int) -> DataFrame:
                     found = []
                 current = row["bucket"]
                 found.append((*unpack_pairs(row["a"]), unpack(row["b"], np.uint32).astype(np.int64)))
-                if len(found) >= 64:
+                if len(found) > 1 and sum(len(x[0]) for x in found[1:]) >= max(MERGE_PAIRS, len(found[0][0])):
                     found = [summed(*(np.concatenate(x) for x in zip(*found, strict=True)))]
         if found:
             yield pa.RecordBatch.from_pylist([bucket_row(current, found)], schema=schema)
@@ -390,11 +408,12 @@ class Bucket:
 
     def __init__(self, number: int, keys: bytes, counts: bytes):
         self.number = number
-        self.pair_word, self.klass = unpack_pairs(keys)
+        words, per, names, at = pickle.loads(keys)
+        self.word, self.pairs = unpack_sorted(words), unpack(per, np.uint32).astype(np.int64)
+        self.klass = unpack_sorted(names)[unpack(at, np.uint32)]
         self.counts = unpack(counts, np.int64)
-        self.word, self.first = np.unique(self.pair_word, return_index=True)
-        self.pairs = np.diff(np.append(self.first, len(self.counts)))
-        self.of = np.repeat(np.arange(len(self.word)), self.pairs)
+        self.first = np.cumsum(self.pairs) - self.pairs
+        self.of = np.repeat(np.arange(len(self.word), dtype=np.int32), self.pairs)
         self.tokens = sums_from(self.counts, self.first)
         self.many = np.flatnonzero(self.counts > 1)
 
@@ -424,8 +443,11 @@ class Bucket:
 
     def index(self):
         """A function from words and contexts to places of the words and of the pairs, -1 for those without customers."""
-        names, place = np.unique(self.klass, return_inverse=True)
-        pairs = self.of * len(names) + place
+        names, place = places(self.klass)
+        pairs = self.of.astype(np.int64)
+        pairs *= len(names)
+        pairs += place
+        del place
 
         def at(x: np.ndarray, table: np.ndarray) -> np.ndarray:
             if not len(table):
@@ -489,7 +511,9 @@ def rows_of(counts: DataFrame, model: Model, kinds, wanted: np.ndarray = ()) ->
                     hot, at = model.find(bucket.klass)
                     per = np.bincount(at[hot], minlength=len(model.hot)).tolist()
                     out.append({"bucket": n, "kind": TOTAL, "grp": n, "tables": per})
+                del bucket
                 yield _swept(out)
+        tokens.give_back()
 
     return counts.select("bucket", "keys", "counts", "asked").mapInArrow(make, SWEPT)
 
@@ -523,6 +547,7 @@ def answered(rows: DataFrame, model: Model, kind: int, to: int, sums) -> DataFra
                 held.append(row)
         if held:
             yield from done(current, held)
+        tokens.give_back()
 
     rows = rows.select("bucket", "kind", "grp", "a", "b").repartition(model.buckets, "bucket")
     return stored(rows.sortWithinPartitions("bucket", "kind", "grp").mapInArrow(answer, ROW))
@@ -575,7 +600,9 @@ def swept(counts: DataFrame, model: Model, s: int) -> DataFrame:
                             "customers": float(customers.sum()), "parents": float(parents.sum())})
                 if len(wanted):
                     out += lines(seats, model, done[BURN_IN:], n)
+                del seats, done, tables, customers, parents
                 yield _swept(out)
+        tokens.give_back()
 
     rows = rows_of(counts, model, {SEATS}, wanted).select(ROW_COLUMNS)
     for reply in model.asked:
