@@ -1,4 +1,4 @@
-"""Yield models on Spark ML: boosted trees for the mean, leaf quantiles for the interval."""
+"""Yield models on Spark ML: boosted trees for the mean and for quantiles, and leaf quantiles of a forest."""
 
 from __future__ import annotations
 
@@ -12,7 +12,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     GBTRegressionModel,
-    GBTRegressor,
     RandomForestRegressionModel,
     RandomForestRegressor,
 )
@@ -22,8 +21,9 @@ from pyspark.sql import functions as F
 from fieldlens.functions.scalars import align_features
 from fieldlens.operators.metrics import regression_metrics
 from fieldlens.operators.splits import fold_parts, time_folds
+from fieldlens.plans import boosting
 from fieldlens.schemas import FEATURE_COLS, TARGET
-from fieldlens.session import cut_lineage, ensure_checkpoint_dir
+from fieldlens.session import cut_lineage
 
 # fixed values: model settings
 DEFAULTS = {
@@ -51,28 +51,53 @@ def _training(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     return vectors(df.filter(F.col(target).isNotNull()), features, [target])
 
 
+def _boosted(
+    df: DataFrame, losses: Sequence[float | None], params: Mapping[str, float] | None,
+    features: Sequence[str], target: str,
+) -> list[GBTRegressionModel]:
+    p = {**DEFAULTS, **(params or {})}
+    whole = ("max_depth", "n_estimators", "min_child", "seed")
+    settings = boosting.Settings(**{k: int(v) if k in whole else float(v) for k, v in p.items()})
+    rows = _training(df, features, target).select(vector_to_array("features").alias("x"), F.col(target).alias("y"))
+    return boosting.fit(rows, losses, settings)
+
+
 def fit_mean(
     df: DataFrame,
     params: Mapping[str, float] | None = None,
     features: Sequence[str] = FEATURE_COLS,
     target: str = TARGET,
 ) -> GBTRegressionModel:
-    """Boosted trees. Columns are sampled per node, which is what Spark offers."""
-    p = {**DEFAULTS, **(params or {})}
-    ensure_checkpoint_dir(df.sparkSession)
-    trees = GBTRegressor(
-        featuresCol="features",
-        labelCol=target,
-        maxDepth=int(p["max_depth"]),
-        stepSize=float(p["learning_rate"]),
-        maxIter=int(p["n_estimators"]),
-        subsamplingRate=float(p["subsample"]),
-        featureSubsetStrategy=str(float(p["colsample"])),
-        minInstancesPerNode=int(p["min_child"]),
-        seed=int(p["seed"]),
-        checkpointInterval=10,
-    )
-    return trees.fit(_training(df, features, target))
+    """Boosted trees for the mean. Columns and rows are sampled per tree."""
+    return _boosted(df, [None], params, features, target)[0]
+
+
+@dataclass
+class YieldModels:
+    mean: GBTRegressionModel
+    lower: GBTRegressionModel
+    upper: GBTRegressionModel
+
+
+def fit_all(
+    df: DataFrame,
+    params: Mapping[str, float] | None = None,
+    features: Sequence[str] = FEATURE_COLS,
+    target: str = TARGET,
+    lower: float = LOWER_Q,
+    upper: float = UPPER_Q,
+) -> YieldModels:
+    """The mean and both bounds with the same settings; their trees grow in the same jobs."""
+    return YieldModels(*_boosted(df, [None, lower, upper], params, features, target))
+
+
+def predict_all(models: YieldModels, rows: DataFrame) -> DataFrame:
+    """Add `prediction`, `lower_bound` and `upper_bound` to rows with a `features` vector."""
+    for model, name in (
+        (models.lower, "lower_bound"), (models.upper, "upper_bound"), (models.mean, "prediction")
+    ):
+        rows = model.copy().setPredictionCol(name).transform(rows)
+    return rows
 
 
 @dataclass

@@ -4,36 +4,27 @@ import pytest
 from pyspark.sql import SparkSession
 
 from checks import models
-from fieldlens.plans import model
+from fieldlens.plans import boosting, model
 
 
 class Fitted(Exception):
     pass
 
 
-@pytest.mark.parametrize("query", ["yield_model_score", "importance", "interval_model", "score_fields"])
-def test_the_mean_is_fitted_with_the_defaults(spark: SparkSession, monkeypatch, query):
-    class Regressor:
-        def __init__(self, **settings):
-            raise Fitted(settings)
+@pytest.mark.parametrize(
+    "query, losses",
+    [
+        ("yield_model_score", [None]), ("importance", [None]), ("score_fields", [None]),
+        ("interval_model", [None, 0.1, 0.9]),
+    ],
+)
+def test_models_are_fitted_with_the_defaults(spark: SparkSession, monkeypatch, query, losses):
+    def fit(rows, quantiles, settings):
+        raise Fitted(quantiles, settings)
 
-    monkeypatch.setattr(model, "GBTRegressor", Regressor)
+    monkeypatch.setattr(boosting, "fit", fit)
     with pytest.raises(Fitted) as stopped:
         models.QUERIES[query][0](spark, "/root/testdata/sf0.001")
-    got = stopped.value.args[0]
-    assert (got["maxIter"], got["maxDepth"], got["stepSize"]) == (
-        model.DEFAULTS["n_estimators"], model.DEFAULTS["max_depth"], model.DEFAULTS["learning_rate"]
-    )
-
-
-def test_the_interval_is_fitted_with_the_defaults(spark, monkeypatch):
-    class Regressor:
-        def __init__(self, **settings):
-            raise Fitted(settings)
-
-    monkeypatch.setattr(models, "fit_mean", lambda *a, **k: None)
-    monkeypatch.setattr(model, "RandomForestRegressor", Regressor)
-    with pytest.raises(Fitted) as stopped:
-        models.q_interval_model(spark, "/root/testdata/sf0.001")
-    got = stopped.value.args[0]
-    assert (got["numTrees"], got["maxDepth"]) == (20, model.DEFAULTS["max_depth"])
+    quantiles, settings = stopped.value.args
+    assert quantiles == losses
+    assert {k: getattr(settings, k) for k in model.DEFAULTS} == model.DEFAULTS
