@@ -1,7 +1,8 @@
 """Words of whole text columns as numpy arrays, without a Python step per word.
 
 A batch is cut into pieces of a few megabytes, so memory follows the longest text, not the batch. Null texts have
-no words. Hashes have 64 bits: two different words, or windows of words, share one with a chance near 2**-60.
+no words. Hashes have 64 bits and take in every byte of a word, mixed before it is added up: two different words, or
+windows of words, share one with a chance near 2**-60, also if they are long or have a pattern.
 """
 
 from __future__ import annotations
@@ -39,8 +40,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_CODE = mix((np.arange(1, 257, dtype=np.uint64)) * _STEP)
-_POWER = np.cumprod(np.full(1 << 16, 0x5851F42D4C957F2D, dtype=np.uint64))
+# the lowest bytes of a number
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each byte range, none of them empty: eight bytes at a time, each mixed with its place, and the length."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    size = end - begin
+    chunks = (size + 7) >> 3
+    start = np.cumsum(chunks) - chunks
+    place = np.arange(start[-1] + chunks[-1]) - np.repeat(start, chunks)
+    done = 8 * place
+    left = np.minimum(np.repeat(size, chunks) - done, 8)
+    done += np.repeat(begin, chunks)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    value = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[done] & _LOWEST[left]
+    value ^= mix((place + 1).astype(np.uint64) * _STEP)
+    return mix(np.add.reduceat(mix(value), start) + size.astype(np.uint64) * _STEP)
 
 
 class Words:
@@ -104,15 +122,7 @@ def split(column: pa.Array, lower: bool = False, kept: np.ndarray = BLANK_SEPARA
     before[:-1] = ~inside[1:] | cut[1:n]
     end = np.flatnonzero(inside & before) + 1
     first = np.searchsorted(begin, offsets)
-    if not len(begin):
-        return Words(data, begin, end, np.zeros(0, np.uint64), first)
-    at = np.flatnonzero(inside)
-    size = end - begin
-    start = np.zeros(len(begin), np.int64)
-    np.cumsum(size[:-1], out=start[1:])
-    within = np.arange(len(at)) - np.repeat(start, size)
-    value = _CODE[data[at]] * _POWER[within & 0xFFFF]
-    return Words(data, begin, end, mix(np.add.reduceat(value, start)), first)
+    return Words(data, begin, end, hashes(data, begin, end), first)
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:

@@ -21,6 +21,24 @@ def test_words_are_those_of_each_text():
         assert len(set(same.values())) == len(same)
 
 
+def patterned():
+    """Pairs of unlike words that sums of letters times powers of one number take for equal."""
+    half = "ab" * 16_384, "ba" * 16_384
+    more = "x" * 65_536, "y" * 65_536
+    turn = ["a"]
+    for _ in range(13):
+        turn.append(turn[-1] + turn[-1].translate({97: 98, 98: 97}))
+    other = [t.translate({97: 98, 98: 97}) for t in turn]
+    pairs = [(half[0] + half[1], half[1] + half[0]), (more[0] + more[1], more[1] + more[0])]
+    return pairs + list(zip(turn, other)) + [("a", "a\0"), ("a" * 8, "a" * 9), ("a" * 8 + "\0", "a" * 8)]
+
+
+def test_long_and_patterned_words_are_told_apart():
+    for a, b in patterned():
+        found = tokens.split(pa.array([a, b, a])).hash.tolist()
+        assert found[0] == found[2] != found[1], (len(a), a[:9])
+
+
 def test_a_slice_has_the_words_of_its_rows():
     whole = tokens.split(pa.array(TEXTS))
     part = tokens.split(pa.array(TEXTS).slice(3, 3))
