@@ -6,21 +6,21 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldlens.llm import tokens
 from fieldlens.llm.shared import documents
-from fieldlens.session import cut_lineage
 
 WINDOW = 10
 # words of a training shard: what one index holds; a longer text is a shard of its own
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 # every so many text positions the suffix array is kept
 SAMPLE = 16
-# text of test items that is broadcast at once; more items go in several blocks
-BLOCK_BYTES = 16 << 20
+# text of test items whose windows make one broadcast, of some 15 times the size; more items go in several
+BLOCK_BYTES = 2 << 20
 
 END, GAP, FIRST_WORD = 0, 1, 2
 
@@ -31,14 +31,15 @@ def suffix_array(ids: np.ndarray) -> np.ndarray:
     The first pass orders by three symbols; later passes touch only suffixes that are not yet told apart.
     """
     n, wide = len(ids), int(ids.max()) + 2
-    shifted = [np.concatenate([ids[k:] + 1, np.zeros(min(k, n), np.int64)])[:n] for k in range(3)]
-    if wide < 1 << 20:
-        key, h = (shifted[0] * wide + shifted[1]) * wide + shifted[2], 3
-    else:
-        key, h = shifted[0] * wide + shifted[1], 2
+    h = 3 if wide < 1 << 20 else 2
+    key = ids + 1
+    for k in range(1, h):
+        key *= wide
+        key[: n - k] += ids[k:] + 1
     sa = np.argsort(key)
     start = np.ones(n, bool)
     start[1:] = key[sa[1:]] != key[sa[:-1]]
+    del key
     # the rank of a suffix is the first place of its group
     rank = np.empty(n, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
@@ -176,16 +177,45 @@ class FmIndex:
         return np.repeat(known, found), text - np.searchsorted(self.gaps, text)
 
 
-def item_windows(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[tuple[np.ndarray, list[list[str]]]]:
-    """Distinct windows by length: rows of word hashes, and the items each belongs to."""
-    words = tokens.split(pa.array([t for _, t in items], pa.string()), lower=True, kept=tokens.ALPHANUMERIC)
-    owners: dict[int, dict[tuple, set[str]]] = defaultdict(lambda: defaultdict(set))
-    for (name, _), begin, end in zip(items, words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-        hashes = words.hash[begin:end].tolist()
-        size = min(window, len(hashes))
-        for i in range(len(hashes) - size + 1 if size else 0):
-            owners[size][tuple(hashes[i : i + size])].add(name)
-    return [(np.array(list(o), np.uint64), [sorted(names) for names in o.values()]) for o in owners.values()]
+WINDOW_ROWS = "size int, key binary, name string"
+
+
+def window_rows(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The windows of items (name, text), made in tasks; a window that an item repeats is one row."""
+
+    def cut(batches):
+        for batch in batches:
+            for piece in tokens.pieces(batch):
+                words = tokens.split(piece.column("text"), lower=True, kept=tokens.ALPHANUMERIC)
+                sizes, keys, names = [], [], []
+                for i, (begin, end) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
+                    size = min(window, end - begin)
+                    if size:
+                        rows = np.lib.stride_tricks.sliding_window_view(words.hash[begin:end], size)
+                        keys += [r.tobytes() for r in rows]
+                        sizes += [size] * len(rows)
+                        names += [piece.column("name")[i].as_py()] * len(rows)
+                columns = (pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(names, pa.string()))
+                yield pa.RecordBatch.from_arrays(list(columns), ["size", "key", "name"])
+
+    return items.mapInArrow(cut, WINDOW_ROWS).distinct()
+
+
+def packed_windows(found: pa.Table) -> list[tuple]:
+    """Rows of `window_rows` by length: (patterns, first, owner, names).
+
+    Patterns are distinct rows of word hashes; the items of the i-th are names[owner[first[i]:first[i + 1]]].
+    """
+    out = []
+    for size in pc.unique(found.column("size")).to_pylist():
+        own = found.filter(pc.equal(found.column("size"), size)).sort_by([("key", "ascending"), ("name", "ascending")])
+        keys, names = own.column("key").combine_chunks(), own.column("name").combine_chunks().dictionary_encode()
+        rows = np.frombuffer(b"".join(keys.to_pylist()), np.uint64).reshape(-1, size)
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        first = np.append(np.flatnonzero(new), len(rows))
+        out.append((rows[new], first, names.indices.to_numpy(), names.dictionary.to_pylist()))
+    return out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -199,31 +229,43 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def search_shard(columns: list[pa.Array], windows) -> list[tuple[int, list, set]]:
-    """For each text: number of words, spans hit as word ranges, and items found."""
-    parts = [tokens.split(c, lower=True, kept=tokens.ALPHANUMERIC) for c in columns]
-    hashes = np.concatenate([p.hash for p in parts])
-    counts = np.concatenate([p.counts for p in parts])
+    """For each text: number of words, spans hit as word ranges, and items found. One index serves all blocks."""
+    hashes, counts = [], []
+    for column in columns:
+        words = tokens.split(column, lower=True, kept=tokens.ALPHANUMERIC)
+        hashes.append(words.hash)
+        counts.append(words.counts)
+        del words
+    hashes, counts = np.concatenate(hashes), np.concatenate(counts)
     first = np.concatenate([[0], np.cumsum(counts)])
     spans, items = defaultdict(list), defaultdict(set)
     index = FmIndex(hashes, first)
-    for patterns, owners in windows:
-        which, at = index.occurrences(patterns)
-        text = np.searchsorted(first, at, side="right") - 1
-        size = patterns.shape[1]
-        for p, t, begin in zip(which.tolist(), text.tolist(), (at - first[text]).tolist(), strict=True):
-            spans[t].append((begin, begin + size))
-            items[t].update(owners[p])
+    del hashes
+    for block in windows:
+        for patterns, owned, owner, names in block.value:
+            which, at = index.occurrences(patterns)
+            text = np.searchsorted(first, at, side="right") - 1
+            size = patterns.shape[1]
+            for p, t, begin in zip(which.tolist(), text.tolist(), (at - first[text]).tolist(), strict=True):
+                spans[t].append((begin, begin + size))
+                items[t].update(names[k] for k in owner[owned[p] : owned[p + 1]].tolist())
+        if len(windows) > 1:
+            # the next block takes its place; a broadcast that is asked for again is read again
+            block.__dict__.pop("_value", None)
     return [(int(n), merged(spans[i]), items[i]) for i, n in enumerate(counts.tolist())]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int):
-    """Test items in blocks of about `block_bytes` of text, one block at a time on the driver."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list:
+    """Windows of the test items as broadcasts, each of the items of about `block_bytes` of text."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = total // block_bytes + 1
-    for b in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == b)
-        yield [(r["name"], r["text"]) for r in rows.collect()]
+    context = benchmark.sparkSession.sparkContext
+    found = items.withColumn("_block", F.pmod(F.xxhash64("name", "text"), F.lit(n)))
+    return [
+        context.broadcast(packed_windows(window_rows(found.filter(F.col("_block") == b).drop("_block")).toArrow()))
+        for b in range(n)
+    ]
 
 
 SPANS = "array<struct<begin:int,end:int>>"
@@ -243,46 +285,38 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
     schema = found.schema
     for field in schema.fields[-3:]:
         field.nullable = True
-    for k, items in enumerate(_blocks(benchmark, block_bytes)):
-        shared = docs.sparkSession.sparkContext.broadcast(item_windows(items))
-
-        def search(batches, shared=shared):
-            held, size = [], 0
-            for batch in batches:
-                for piece in tokens.pieces(batch):
-                    held.append(piece)
-                    size += len(tokens.raw(piece.column("text"))[0])
-                    # a word and the blank after it have about six bytes
-                    if size >= 6 * SHARD_WORDS:
-                        yield from answers(held, shared.value)
-                        held, size = [], 0
-            if held:
-                yield from answers(held, shared.value)
-
-        if k and not k % 8:
-            found = cut_lineage(found)
-        found = found.mapInArrow(search, T.StructType(schema.fields))
-    return found
+    blocks = _blocks(benchmark, block_bytes)
+
+    def search(batches):
+        held, size = [], 0
+        for batch in batches:
+            for piece in tokens.pieces(batch):
+                held.append(piece)
+                size += len(tokens.raw(piece.column("text"))[0])
+                # a word and the blank after it have about six bytes
+                if size >= 6 * SHARD_WORDS:
+                    yield from answers(held, blocks)
+                    held, size = [], 0
+        if held:
+            yield from answers(held, blocks)
+        tokens.give_back()
+
+    return found.mapInArrow(search, T.StructType(schema.fields))
 
 
 def answers(batches: list[pa.RecordBatch], windows):
-    """The batches with their three last columns brought up to date."""
+    """The batches with their three last columns filled."""
     found = search_shard([b.column("text") for b in batches], windows)
     at = 0
     for batch in batches:
         names = batch.schema.names
         own = found[at : at + batch.num_rows]
         at += batch.num_rows
-        before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)
-        spans, items = [], []
-        for (old_spans, old_items), (_, new_spans, new_items) in zip(before, own, strict=True):
-            joined = merged([(s["begin"], s["end"]) for s in old_spans] + new_spans)
-            spans.append([{"begin": b, "end": e} for b, e in joined])
-            items.append(sorted(set(old_items) | new_items))
+        spans = [[{"begin": b, "end": e} for b, e in found] for _, found, _ in own]
         new = {
             "n_words": pa.array([n for n, _, _ in own], pa.int64()),
             "spans": pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))),
-            "items": pa.array(items, pa.list_(pa.string())),
+            "items": pa.array([sorted(names) for _, _, names in own], pa.list_(pa.string())),
         }
         yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
 
