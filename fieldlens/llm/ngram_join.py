@@ -22,8 +22,11 @@ from fieldlens.llm.shared import broadcast_if_small, documents, stored, text_byt
 SHINGLE = 5
 PERCENT = 75
 FRAGMENTS = 8
-# cells of the sketch: its memory in a task, and what is broadcast; more input only makes the order coarser
-MIN_CELL_BITS, MAX_CELL_BITS = 14, 23
+# cells of the sketch: its memory in a task, and what is broadcast. A shingle of more than a few parts in 2**24 of all
+# stands out at any size of input
+MIN_CELL_BITS, MAX_CELL_BITS = 14, 24
+# a further round of stars is worth a pass if the last one linked so many of its pairs
+WORTHWHILE = 0.1
 WORDS_PER_CELL = 8
 SKETCH_PARTS = 64
 
@@ -48,12 +51,14 @@ def shingle_levels(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
     bits = int(np.clip(np.ceil(np.log2(max(1, cells))), MIN_CELL_BITS, MAX_CELL_BITS))
 
     def count(batches):
-        total = np.zeros(1 << bits, np.uint32)
+        # a task's count of a cell stops at 65535, which is frequent in any case
+        total = np.zeros(1 << bits, np.uint16)
         for batch in batches:
             for piece in tokens.pieces(batch):
                 words = tokens.split(piece.column("text"), lower=True)
                 found = tokens.windows(words.hash, k)[words.full(k)]
-                np.add.at(total, (found >> np.uint64(64 - bits)).astype(np.int64), 1)
+                cell, n = np.unique((found >> np.uint64(64 - bits)).astype(np.int32), return_counts=True)
+                total[cell] = np.minimum(total[cell] + n, 0xFFFF)
         if total.any():
             press = zstandard.ZstdCompressor(level=1)
             parts = [press.compress(p.tobytes()) for p in np.split(total, SKETCH_PARTS)]
@@ -68,7 +73,7 @@ def shingle_levels(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
                     if part is not None:
                         yield _sum_row(part, total)
                     part, total = name, np.zeros((1 << bits) // SKETCH_PARTS, np.int64)
-                total += np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_py()), np.uint32)
+                total += np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_py()), np.uint16)
         if part is not None:
             yield _sum_row(part, total)
 
@@ -109,7 +114,7 @@ def class_of(hashes: np.ndarray) -> int:
 
 
 def set_rows(docs: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFrame:
-    """doc_id, n, class and the first shingles in the global order, as many as two similar sets must share one of."""
+    """doc_id, text_key, n, class and the first shingles in the global order, as many as two similar sets must share one of."""
     kind = dict(docs.dtypes)["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -128,21 +133,29 @@ def set_rows(docs: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataF
                 ends = np.cumsum([0, *map(len, first)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first)))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists],
-                    ["doc_id", "n", "class", "first"],
-                )
+                    [piece.column("doc_id"), piece.column("text_key"), pa.array(sizes, pa.int64()),
+                     pa.array(classes, pa.int64()), lists], ["doc_id", "text_key", "n", "class", "first"],
+                )
+
+    schema = f"doc_id {kind}, text_key long, n long, class long, first array<long>"
+    return docs.select("doc_id", "text", text_key()).mapInArrow(extract, schema)
 
-    return docs.select("doc_id", "text").mapInArrow(extract, f"doc_id {kind}, n long, class long, first array<long>")
+
+def text_key():
+    """With the id it names the text that stands for a class; the id alone may be null or that of several texts."""
+    return F.xxhash64("text").alias("text_key")
 
 
 def segments(docs: DataFrame, wanted: DataFrame, levels: np.ndarray, k: int) -> DataFrame:
-    """class, fragment and shingles of the wanted classes (class, doc_id of a text that has it), fragment by fragment.
+    """class, fragment and shingles of the wanted classes (class, owner: id and key of a text that has it).
 
     The last fragment holds the frequent shingles, which come last in the order; the others are ranges of hashes.
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    own = wanted.groupBy("doc_id").agg(F.collect_set("class").alias("wanted"))
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(own), "doc_id")
+    own = wanted.groupBy(F.col("owner.doc_id").alias("_id"), F.col("owner.text_key").alias("_key"))
+    own = broadcast_if_small(own.agg(F.collect_set("class").alias("wanted")))
+    texts = docs.select("doc_id", "text", text_key())
+    texts = texts.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
 
     def cut(batches):
         for batch in batches:
@@ -163,7 +176,7 @@ def segments(docs: DataFrame, wanted: DataFrame, levels: np.ndarray, k: int) ->
                      pa.array(rows["part"], pa.list_(pa.int64()))], ["class", "fragment", "part"]
                 )
 
-    return texts.mapInArrow(cut, "class long, fragment int, part array<long>")
+    return texts.select("text", "wanted").mapInArrow(cut, "class long, fragment int, part array<long>")
 
 
 def linked(docs: DataFrame, pairs: DataFrame, owners: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFrame:
@@ -174,7 +187,7 @@ def linked(docs: DataFrame, pairs: DataFrame, owners: DataFrame, levels: np.ndar
     right = parts.withColumnsRenamed({"class": "b", "part": "part_b"})
     both = pairs.join(left, "a").join(right, ["b", "fragment"])
     counted = both.withColumn("overlap", F.size(F.array_intersect("part_a", "part_b")))
-    # rows that repeat an id and text give the same segments again
+    # rows that repeat an id and a text give the same segments again
     each = counted.groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max("overlap").alias("overlap"))
     summed = each.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
     enough = 100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))
@@ -210,9 +223,10 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     """doc_id, n_shingles and component_id of every row: components of the links between sets of shingles.
 
     Two sets link when 100 * intersection >= percent * union. Texts with equal sets are one class and are not compared.
-    First each class meets one other, that stands first among those of its length for most of its first shingles; then,
-    for every shingle that classes of different components share, all pairs across these components that may have it
-    as their first common one are tested. Pairs within a component need no test, so a large group of near copies costs what its rows cost.
+    In rounds each class meets one of another component, that stands first among those of its length for most of its
+    first shingles, and what is linked becomes one component; then, for every shingle that classes of different components
+    still share, all pairs across these components that may have it as their first common one are tested. Pairs within a
+    component need no test, so a large group of near copies costs what its rows cost.
 
     Texts without words have n_shingles 0 and are linked with nothing. A row without an id is linked like others; its
     component is the smallest id it reaches, or null. Rows that repeat an id are separate nodes. Extra columns are
@@ -220,9 +234,11 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     """
     docs = docs.select("doc_id", "text")
     levels = shingle_levels(docs, k)
-    rows = stored(set_rows(docs, levels, k, percent))
-    classes = rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("smallest"))
-    classes = stored(classes)
+    rows = stored(set_rows(docs, levels, k, percent).withColumn("row", F.monotonically_increasing_id()))
+    # an id owns a class rather than none does
+    owner = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "text_key", "row")
+    classes = rows.filter("n > 0").groupBy("class").agg(F.min(owner).alias("owner"))
+    classes = stored(classes.select("class", "owner", F.col("owner.doc_id").alias("smallest")))
     links = class_links(docs, rows, classes, levels, k, percent)
 
     root = components(links)
@@ -237,50 +253,73 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
 
 def class_links(docs, rows: DataFrame, classes: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFrame:
     """Links (a, b) between classes that connect what all links connect."""
-    keys = rows.filter("n > 0").join(
-        broadcast_if_small(classes.withColumnRenamed("class", "_class")),
-        (F.col("class") == F.col("_class")) & F.col("doc_id").eqNullSafe(F.col("smallest")),
-    )
+    mine = broadcast_if_small(classes.select(F.col("class").alias("_class"), F.col("owner.row").alias("_row")))
+    keys = rows.filter("n > 0").join(mine, (F.col("class") == F.col("_class")) & (F.col("row") == F.col("_row")))
     postings = keys.select("class", "n", F.posexplode("first").alias("place", "shingle")).repartition("shingle")
     band = F.floor(F.log(F.col("n")) / np.log(100 / percent)).cast("int")
-    within, over = Window.partitionBy("shingle", "band"), Window.partitionBy("shingle")
-    postings = (
-        postings.withColumn("band", band)
-        .withColumn("hub", F.min(F.struct("class", "n")).over(within))
-        .withColumn("least", F.min("class").over(over))
-        .withColumn("most", F.max("class").over(over))
-        .filter("least < most")
-        .select("shingle", "class", "n", "hub", _reach(percent).alias("reach"))
+    over = Window.partitionBy("shingle")
+    postings = postings.withColumns({"least": F.min("class").over(over), "most": F.max("class").over(over)})
+    postings = postings.filter("least < most").select(
+        "shingle", "class", "n", band.alias("band"), _reach(percent).alias("reach")
     )
     postings = stored(postings)
-
-    # one candidate per class: the hub that most of its first shingles share
-    star = postings.filter("class != hub.class").groupBy("class", "n", "hub").agg(F.count("*").alias("shares"))
+    owners = classes.select("class", "owner")
+    links, turn = None, 0
+    while True:
+        placed = postings.withColumn("root", F.col("class")) if links is None else contested(postings, links)
+        star = stored(stars(placed, turn, percent))
+        found = stored(linked(docs, star, owners, levels, k, percent))
+        links = found if links is None else stored(links.union(found))
+        turn += 1
+        if found.count() <= WORTHWHILE * star.count():
+            break
+    placed = contested(postings, links)
+    pairs = stored(across(placed, percent))
+    return links.union(linked(docs, pairs, owners, levels, k, percent))
+
+
+def contested(postings: DataFrame, links: DataFrame) -> DataFrame:
+    """Postings of shingles that classes of different components share, with the root of the class's component."""
+    root = broadcast_if_small(components(links).withColumnRenamed("node", "class"))
+    placed = postings.join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    ends = placed.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    return stored(placed.join(ends.filter("least < most").select("shingle"), "shingle"))
+
+
+def stars(placed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """One candidate per class: of another component, and at the hub of most of its first shingles.
+
+    Each shingle and band of lengths has two hubs of different components; which ones changes from turn to turn.
+    """
+    group = Window.partitionBy("shingle", "band")
+    place = F.col("class") if not turn else F.xxhash64(F.lit(turn), "class")
+    hub = F.struct(place.alias("place"), "class", "n", "root")
+    met = placed.withColumn("one", F.min(hub).over(group))
+    met = met.withColumn("two", F.min(F.when(F.col("root") != F.col("one.root"), hub)).over(group))
+    met = met.withColumn("hub", F.when(F.col("root") != F.col("one.root"), F.col("one")).otherwise(F.col("two")))
+    star = met.filter("hub is not null").groupBy("class", "n", "hub").agg(F.count("*").alias("shares"))
     star = star.groupBy("class", "n").agg(F.max(F.struct("shares", "hub")).alias("best")).select("class", "n", "best.*")
+    first = F.col("class") < F.col("hub.class")
     star = star.select(
         "shares",
         F.least("class", "hub.class").alias("a"),
         F.greatest("class", "hub.class").alias("b"),
-        F.when(F.col("class") < F.col("hub.class"), F.col("n")).otherwise(F.col("hub.n")).alias("n_a"),
-        F.when(F.col("class") < F.col("hub.class"), F.col("hub.n")).otherwise(F.col("n")).alias("n_b"),
+        F.when(first, F.col("n")).otherwise(F.col("hub.n")).alias("n_a"),
+        F.when(first, F.col("hub.n")).otherwise(F.col("n")).alias("n_b"),
     )
-    owners = classes.select("class", F.col("smallest").alias("doc_id")).filter("doc_id is not null")
-    star = star.filter(_in_length(percent) & _may_link(percent)).drop("shares")
-    star = stored(star.distinct())
-    first = stored(linked(docs, star, owners, levels, k, percent))
-
-    # what is left: classes of different components that share one of their first shingles
-    root = broadcast_if_small(components(first).withColumnRenamed("node", "class"))
-    placed = postings.drop("hub").join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    across = placed.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    placed = stored(placed.join(across.filter("least < most").select("shingle"), "shingle"))
+    return star.filter(_in_length(percent) & _may_link(percent)).drop("shares").distinct()
+
+
+def across(placed: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes of different components that may have a shingle as their first common one, and may link."""
     # a component is one row per shingle, with what its members allow at most
     roots = placed.groupBy("shingle", "root").agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
     side = lambda df, x: df.withColumnsRenamed({c: f"{c}_{x}" for c in df.columns if c != "shingle"})
     in_reach = (F.col("n_a") <= F.col("reach_b")) & (F.col("n_b") <= F.col("reach_a"))
     meet = side(roots, "a").join(side(roots, "b"), "shingle").filter((F.col("root_a") < F.col("root_b")) & in_reach)
     meet = meet.select("shingle", "root_a", "root_b")
-    a, b = side(placed, "a"), side(placed, "b")
+    members = placed.drop("band")
+    a, b = side(members, "a"), side(members, "b")
     pairs = meet.join(a, ["shingle", "root_a"]).join(b, ["shingle", "root_b"]).filter(in_reach)
     pairs = pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "n_a", "n_b")
     pairs = pairs.distinct()
@@ -289,8 +328,7 @@ def class_links(docs, rows: DataFrame, classes: DataFrame, levels: np.ndarray, k
     pairs = pairs.join(own.withColumnsRenamed({"class": "a", "own": "own_a"}), "a")
     pairs = pairs.join(own.withColumnsRenamed({"class": "b", "own": "own_b"}), "b")
     pairs = pairs.withColumn("shares", F.size(F.array_intersect("own_a", "own_b"))).drop("own_a", "own_b")
-    pairs = stored(pairs.filter(_may_link(percent)).drop("shares"))
-    return first.union(linked(docs, pairs, owners, levels, k, percent))
+    return pairs.filter(_may_link(percent)).drop("shares")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,3 +228,67 @@ def test_suffixes_and_occurrences_agree_with_plain_search():
             if (h[i : i + 3] == wanted[p]).all()
         }
         assert set(zip(which.tolist(), at.tolist())) == plain and len(which) == len(plain)
+
+
+# --- words that are hard to tell apart --------------------------------------------------
+
+
+def test_long_and_patterned_words_are_no_copies(spark):
+    from tests.llm.test_words import patterned
+
+    rows = [(i, w) for i, w in enumerate(x for pair in patterned() for x in pair) if "\0" not in w]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = by_id(ngram_join.similar_components(df), "n_shingles", "component_id")
+    assert found == brute.components(rows)
+    bench = [(str(i), w) for i, w in rows if i % 2]
+    docs = [(i, w) for i, w in rows if not i % 2]
+    found = decontaminate.find_contamination(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id string, text string")
+    )
+    expected = {i: (r[4],) for i, r in brute.contamination(docs, bench).items()}
+    assert by_id(found.withColumn("bad", F.size("spans") > 0), "bad") == expected
+
+
+def near_copies(seed, n, edits, size=120):
+    """Copies of one text with some words changed: not all are near to each other."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(size)]
+    out = []
+    for k in range(n):
+        words = list(base)
+        for _ in range(rng.randrange(edits + 1)):
+            words[rng.randrange(size)] = f"x{k}-{rng.randrange(99)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_rows_without_an_id_link_others(spark):
+    base = [f"w{i}" for i in range(100)]
+    far, middle = list(base), list(base)
+    far[10] = far[50] = far[90] = "other"
+    middle[10] = "other"
+    texts = [" ".join(w) for w in (base, middle, far)]
+    alone = brute.components([(1, texts[0]), (2, texts[2])])
+    assert alone[1][1] != alone[2][1] and brute.components(list(enumerate(texts)))[2][1] == 0
+    rows = [(1, texts[0]), (2, texts[2]), (None, texts[1]), (None, texts[1]), (None, "lost words of their own kind here")]
+    found = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in found.collect()) == [
+        ("1", "1"), ("2", "1"), ("None", "1"), ("None", "1"), ("None", "None")
+    ]
+
+
+@pytest.mark.parametrize("worthwhile", [0.0, 0.1, 2.0])
+def test_rounds_of_stars_change_no_component(spark, monkeypatch, worthwhile):
+    monkeypatch.setattr(ngram_join, "WORTHWHILE", worthwhile)
+    rows = list(enumerate(near_copies(5, 60, 9) + near_copies(6, 25, 14)))
+    found = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    expected = brute.components(rows)
+    assert len({c for _, c in expected.values()}) > 5
+    assert by_id(found, "n_shingles", "component_id") == expected
+
+
+def test_rows_that_share_an_id_own_their_texts(spark):
+    texts = near_copies(8, 3, 2) + ["quite another text of several words " * 3]
+    rows = [(7, texts[0]), (7, texts[3]), (9, texts[1]), (8, texts[2]), (7, texts[0])]
+    found = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(7, 7), (7, 7), (7, 7), (8, 7), (9, 7)]
