@@ -220,7 +220,7 @@ def _may_link(percent: int):
 
 
 def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row: components of the links between sets of shingles.
+    """doc_id, n_shingles, component_id and text_key of every row: components of the links between sets of shingles.
 
     Two sets link when 100 * intersection >= percent * union. Texts with equal sets are one class and are not compared.
     In rounds each class meets one of another component, that stands first among those of its length for most of its
@@ -230,7 +230,7 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
 
     Texts without words have n_shingles 0 and are linked with nothing. A row without an id is linked like others; its
     component is the smallest id it reaches, or null. Rows that repeat an id are separate nodes. Extra columns are
-    ignored. Shingles are compared by hashes of 64 bits.
+    ignored. Shingles are compared by hashes of 64 bits. With the id, `text_key` tells rows of unlike texts apart.
     """
     docs = docs.select("doc_id", "text")
     levels = shingle_levels(docs, k)
@@ -248,7 +248,7 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     of_class = of_class.select("class", F.coalesce("component", "smallest").alias("component"))
     found = rows.join(of_class, "class", "left")
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "text_key")
 
 
 def class_links(docs, rows: DataFrame, classes: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFrame:
@@ -332,4 +332,4 @@ def across(placed: DataFrame, percent: int) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(documents(spark, sf_dir))
+    return similar_components(documents(spark, sf_dir)).drop("text_key")
