@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlens.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
+from fieldlens.llm.ngram_join import text_key
 from fieldlens.llm.shared import broadcast_if_small, documents, shared_folder
 
 READ = ("doc_id", "text", "source")
@@ -30,27 +31,43 @@ def _unpacked(df: DataFrame, docs: DataFrame, text=None, more=()) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go."""
+    """Documents that score 0.5 or more go.
+
+    A null or empty text scores what the share of labels says. Each row is judged by its own text, whatever its id.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _unpacked(toxicity.with_scores(_packed(docs), model).filter("score < 0.5"), docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; so does a document that had words and has none left."""
+    """Repeated lines go; so does a document that had words and has none left.
+
+    A line that rows of one id repeat counts as in one document. Rows without an id neither own nor lose lines; null
+    texts stay null, and an empty table stays empty.
+    """
     found = line_dedup.dedup_lines(_packed(docs))
     found = found.filter((F.col("n_dropped") == 0) | F.col("kept_text").rlike(HAS_WORD))
     return _unpacked(found, docs, F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept_text")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the smallest doc_id stays; rows that share an id stay or go together."""
-    found = ngram_join.similar_components(docs)
-    gone = broadcast_if_small(found.filter("component_id != doc_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each component of near duplicates the rows with its smallest doc_id stay.
+
+    A row goes by its id and its text, so another text with the id of a near copy stays. Rows without an id go if they are
+    near to one that has an id. Texts without words and empty tables stay as they are.
+    """
+    found = ngram_join.similar_components(docs).filter(~F.col("component_id").eqNullSafe(F.col("doc_id")))
+    gone = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    packed = _packed(docs).withColumn("_own", text_key())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key"))
+    return _unpacked(packed.join(broadcast_if_small(gone), same, "left_anti"), docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words inside passages of test items are cut out; a document that has none left goes."""
+    """Words inside passages of test items are cut out; a document that has none left goes.
+
+    Each row is searched by its own text, whatever its id; null and empty texts stay, and so do all without items.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_contamination(_packed(docs), items)
     found = found.withColumn("_hit", decontaminate.n_hit())
@@ -62,17 +79,20 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the mix with copies (how often), taken (words) and finish (the first copy's place in the order).
 
-    Rows of equal id and text come as one row with the copies of all.
+    Rows of equal id, text and source come as one row with the copies of all. Columns of these three names give way to
+    the stage's own. An empty table gives an empty one.
     """
-    mixed = mixing.mix(docs.select(*READ)).filter("copies > 0").groupBy("draw")
+    mixed = mixing.mix(docs.select(*READ)).filter("copies > 0").groupBy("draw", F.col("source").alias("_source"))
     mixed = mixed.agg(
         F.sum("copies").alias("copies"),
         F.sum("taken").alias("taken"),
         F.min(F.get("finishes", F.lit(0))).alias("finish"),
     )
-    named = _packed(docs).withColumn("_draw", mixing.draw()).dropDuplicates(["_draw"])
-    joined = named.join(mixed, F.col("_draw") == F.col("draw"))
-    return _unpacked(joined, docs, more=("copies", "taken", "finish"))
+    more = ("copies", "taken", "finish")
+    docs = docs.drop(*more)
+    named = _packed(docs).withColumn("_draw", mixing.draw()).dropDuplicates(["_draw", "source"])
+    joined = named.join(mixed, (F.col("_draw") == F.col("draw")) & F.col("source").eqNullSafe(F.col("_source")))
+    return _unpacked(joined, docs, more=more)
 
 
 STAGES = [
