@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -17,13 +17,13 @@ from fieldlens.operators.drift import (
     BUFFER_TTL,
     drift_level,
     drift_scores,
-    rolling_buffer,
 )
 from fieldlens.operators.quality import REQUIRED, SUITES, dead_letter, split_rows, validate, verdict
 from fieldlens.operators.weekly import soil_statistics, weather_statistics
 from fieldlens.schemas import TOPICS, struct
+from fieldlens.sources.commits import CommittedTable, bucket
 from fieldlens.sources.tables import land
-from fieldlens.streaming.state import SlotTable
+from fieldlens.streaming.buffers import rolling_buffers
 
 RETENTION = "7 days"  # topic retention: how late a row may be
 WEEK_OFFSET = "4 days"  # epoch day 0 was a Thursday; weeks start on Monday
@@ -153,11 +153,59 @@ def fault_rates(
     )
 
 
+# --- late rows -----------------------------------------------------------------------
+
+
+def split_late(
+    rows: DataFrame,
+    root: str,
+    keep: Callable[[DataFrame, int], None],
+    event: str = "event_time",
+    delay: str = RETENTION,
+) -> DataStreamWriter:
+    """Give every batch's rows in time to `keep` and commit the late ones to `root`/late, so that none vanishes.
+
+    A row is late if its event time lies more than `delay` before the newest one of all earlier batches: the stream's
+    own watermark, which is committed with the rows. A repeated batch is split as it was the first time.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("batch_id", T.LongType())])
+    late = CommittedTable(rows.sparkSession, f"{root}/late", schema, F.to_date(event))
+    marks = CommittedTable(
+        rows.sparkSession, f"{root}/watermark", struct("batch_id bigint, newest timestamp"), F.lit("all")
+    )
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        name = stream_name(batch)
+        batch = batch.persist()
+        try:
+            seen = marks.read().filter(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
+            mark = F.lit(seen).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+            is_late = F.coalesce(F.col(event) < mark, F.lit(False))
+            keep(batch.filter(~is_late), batch_id)
+            late.append(batch.filter(is_late).withColumn("batch_id", F.lit(batch_id)), name, batch_id)
+            newest = batch.agg(F.greatest(F.max(event), F.lit(seen).cast("timestamp")).alias("newest"))
+            # the last marks suffice to repeat a batch
+            marks.merge(
+                newest.withColumn("batch_id", F.lit(batch_id)), name, batch_id,
+                lambda kept, new: kept.filter(F.col("batch_id") >= batch_id - 2).unionByName(new),
+            )
+        finally:
+            batch.unpersist()
+
+    return rows.writeStream.foreachBatch(handle)
+
+
+def late_table(spark, root: str, schema: T.StructType) -> DataFrame:
+    schema = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    return CommittedTable(spark, f"{root}/late", schema, F.lit("")).read()
+
+
 # --- state ---------------------------------------------------------------------------
 
-BUFFER_SCHEMA = struct(
-    "field_id string, feature string, ts timestamp, value double, tie bigint"
-)
+
+def stream_name(batch: DataFrame) -> str:
+    """The id of the running query, which its checkpoint keeps: what a committed table knows a stream by."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream"
 
 
 def drift_stream(
@@ -166,41 +214,45 @@ def drift_stream(
     root: str,
     size: int = BUFFER_SIZE,
     ttl: timedelta | None = BUFFER_TTL,
+    delay: str = RETENTION,
 ) -> DataStreamWriter:
-    """Rolling buffers per (field, feature) and a drift verdict per field and batch.
+    """Rolling buffers per (field, feature) and a drift verdict per touched field and batch.
 
-    `values` has field_id, feature, ts, value and a `tie` number that settles equal times. Each
-    batch is first cut to the newest `size` values per key, so neither the state nor the merge
-    grows with the traffic of a key.
+    `values` has field_id, feature, ts, value and a `tie` number that settles equal times. A batch reads the buffers of
+    the fields it brings values for and no others; `root`/levels has a folder of verdicts per batch, which a repeated
+    batch replaces.
     """
-    spark = values.sparkSession
-    state = SlotTable(spark, f"{root}/buffer", BUFFER_SCHEMA)
-    names = [f.name for f in BUFFER_SCHEMA.fields]
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        merged = state.before(batch_id).unionByName(batch.select(*names))
-        stored = state.replace(batch_id, rolling_buffer(merged, size, tie=["tie"], ttl=ttl))
-        touched = batch.select("field_id").distinct()
-        seen = stored.join(touched, "field_id", "left_semi")
-        levels = drift_level(drift_scores(seen, profile))
+    def handle(buffers: DataFrame, batch_id: int) -> None:
+        levels = drift_level(drift_scores(buffers, profile))
         levels.write.mode("overwrite").parquet(f"{root}/levels/batch_id={batch_id}")
 
-    return values.writeStream.foreachBatch(handle)
+    return rolling_buffers(values, size, ttl, delay).writeStream.outputMode("update").foreachBatch(handle)
 
 
-def buffer_table(spark, root: str) -> DataFrame:
-    return SlotTable(spark, f"{root}/buffer", BUFFER_SCHEMA).current()
+# parts of a table of newest rows: what a batch touches is rewritten part by part
+LATEST_PARTS = 64
+
+
+def _latest(spark, root: str, schema: T.StructType, key: str, parts: int) -> CommittedTable:
+    return CommittedTable(spark, f"{root}/latest", schema, bucket([key], parts))
 
 
 def latest_stream(
-    rows: DataFrame, root: str, key: str = "field_id", ts: str = "ts", tie: Sequence[str] = ()
+    rows: DataFrame, root: str, key: str = "field_id", ts: str = "ts", tie: Sequence[str] = (),
+    parts: int = LATEST_PARTS,
 ) -> DataStreamWriter:
-    """Newest row per key, kept up to date batch by batch."""
-    state = SlotTable(rows.sparkSession, f"{root}/latest", rows.schema)
+    """Newest row per key, kept up to date batch by batch.
+
+    A repeated batch, and a stream that starts anew from a new checkpoint, end in the same table.
+    """
+    table = _latest(rows.sparkSession, root, rows.schema, key, parts)
+
+    def newer(kept: DataFrame, batch: DataFrame) -> DataFrame:
+        return merge_snapshot(kept, batch, key, ts, tie)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        newest = online_latest(batch, key, ts, tie)
-        state.replace(batch_id, merge_snapshot(state.before(batch_id), newest, key, ts, tie))
+        table.merge(online_latest(batch, key, ts, tie), stream_name(batch), batch_id, newer)
 
     return rows.writeStream.foreachBatch(handle)
 
@@ -210,5 +262,6 @@ def latest_table(
     expires: timedelta = timedelta(hours=1),
 ) -> DataFrame:
     """The kept rows with a flag for those older than `expires`."""
-    kept = SlotTable(spark, f"{root}/latest", schema).current()
+    # the parts of the manifest are read as they are
+    kept = CommittedTable(spark, f"{root}/latest", schema, F.lit("")).read()
     return kept.withColumn("stale", F.col(ts) < moment(now - expires))

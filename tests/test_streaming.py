@@ -1,16 +1,18 @@
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from fieldlens.operators.drift import psi_profile, rolling_buffer
+from fieldlens.operators.drift import drift_level, drift_scores, psi_profile, rolling_buffer
 from fieldlens.operators.weekly import soil_weekly, weather_weekly
 from fieldlens.schemas import SOIL, WEATHER, struct
 from fieldlens.sources.topics import read_topic_files, to_topic_files
 from fieldlens.streaming import jobs
-from fieldlens.streaming.state import SlotTable
+from fieldlens.sources.commits import CommittedTable, Conflict, bucket
+from fieldlens.streaming.buffers import buffer_table, newest_of_each
 
 T0 = 1_704_067_200_000
 
@@ -124,10 +126,54 @@ def test_drift_stream_equals_batch(spark, tmp_path, files):
     stream = streamed(spark, df, f"{root}/in", files)
     done(jobs.run(jobs.drift_stream(stream, profile, root, size=100), f"{root}/log"))
     want = rolling_buffer(df, 100, tie=["tie"], ttl=timedelta(days=7))
-    got = jobs.buffer_table(spark, root)
-    assert sorted(r.tie for r in got.collect()) == sorted(r.tie for r in want.collect())
+    got = buffer_table(spark, f"{root}/log").select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     levels = spark.read.parquet(f"{root}/levels")
-    assert levels.filter(F.col("batch_id") == files - 1).count() == 2
+    last = levels.filter(F.col("batch_id") == files - 1).drop("batch_id")
+    expected = drift_level(drift_scores(want, profile))
+    assert rows(last.select("field_id", "max_psi", "drift_level"), "field_id") == rows(
+        expected.select("field_id", "max_psi", "drift_level"), "field_id")
+
+
+def in_order(spark, frames, path):
+    """A stream of one file after the other."""
+    for df in frames:
+        df.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    return spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_silent_buffers_expire_and_late_values_stay_out(spark, tmp_path):
+    root, day = str(tmp_path), lambda d: datetime(2024, 1, 1) + timedelta(days=d)
+    frames = [
+        spark.createDataFrame(r, VALUES)
+        for r in (
+            [("quiet", "a", day(0), 1.0, 1), ("busy", "a", day(0), 1.0, 2), ("busy", "b", day(0), 7.0, 3)],
+            [("busy", "a", day(4), 2.0, 4)],
+            [("busy", "a", day(8), 3.0, 5), ("busy", "b", day(1), 8.0, 6)],
+            [("busy", "a", day(9), 4.0, 7)],
+        )
+    ]
+    profile = psi_profile(frames[0].select("feature", "value"))
+    stream = in_order(spark, frames, f"{root}/in")
+    writer = jobs.drift_stream(stream, profile, root, ttl=timedelta(days=5), delay="1 day")
+    done(jobs.run(writer, f"{root}/log"))
+    got = sorted((r.field_id, r.feature, r.tie) for r in buffer_table(spark, f"{root}/log").collect())
+    # the quiet field and the feature that fell silent are gone; the value of day 1 came after day 4 and is late
+    assert got == [("busy", "a", k) for k in (2, 4, 5, 7)]
+    touched = spark.read.parquet(f"{root}/levels").groupBy("batch_id").agg(F.collect_set("field_id").alias("f")).collect()
+    assert {r.batch_id: set(r.f) for r in touched} == {0: {"quiet", "busy"}, 1: {"busy"}, 2: {"busy"}, 3: {"busy"}}
+
+
+def test_a_hot_key_sends_few_rows(spark):
+    df = spark.range(5000).selectExpr(
+        "if(id % 10 = 0, 'cold', 'hot') field_id", "'a' feature", "timestamp_seconds(id % 700) ts", "double(id) value",
+        "if(id % 7 = 0, null, id) tie").repartition(3)
+    found = newest_of_each(df, 20).withColumn("ts", F.timestamp_micros("us"))
+    assert found.count() <= 3 * 2 * 20
+    want = rolling_buffer(df, 20, tie=["tie"]).groupBy("field_id").agg(F.min("ts"), F.max("ts"), F.count("*"))
+    got = rolling_buffer(found, 20, tie=["tie"]).groupBy("field_id").agg(F.min("ts"), F.max("ts"), F.count("*"))
+    assert rows(got, "field_id") == rows(want, "field_id")
 
 
 def test_latest_stream(spark, tmp_path):
@@ -140,14 +186,65 @@ def test_latest_stream(spark, tmp_path):
     assert all(r.stale == (r.ts < datetime(2024, 1, 1, 5, 30)) for r in got)
 
 
+def test_latest_survives_repeats_and_a_new_checkpoint(spark, tmp_path):
+    df, root = values(spark, 60), str(tmp_path)
+    stream = streamed(spark, df, f"{root}/in", 3)
+    run = lambda log: done(jobs.run(jobs.latest_stream(stream, root, tie=["tie"], parts=4), f"{root}/{log}"))
+    read = lambda: sorted(map(tuple, jobs.latest_table(spark, root, VALUES, datetime(2024, 1, 1)).collect()))
+    run("log")
+    first = read()
+    run("log")
+    run("another")
+    assert read() == first and len(first) == 2
+
+
 def test_repeated_batch_changes_nothing(spark, tmp_path):
-    table = SlotTable(spark, str(tmp_path), struct("x bigint"))
-    assert table.before(0).count() == 0 and table.current().count() == 0
-    for batch, rows_ in ((0, 1), (1, 2), (1, 2), (2, 3)):
-        seen = table.before(batch)
-        assert seen.count() == (rows_ - 1)
-        table.replace(batch, seen.unionByName(spark.createDataFrame([(batch,)], "x bigint")))
-    assert rows(table.current(), "x") == [(0,), (1,), (2,)]
+    table = CommittedTable(spark, str(tmp_path), struct("x bigint"), bucket(["x"], 3))
+    assert table.read().count() == 0 and table.manifest().version == -1
+    for batch, new in ((0, True), (1, True), (1, False), (2, True)):
+        row = spark.createDataFrame([(batch,)], "x bigint")
+        assert table.append(row, "s", batch) == new
+    assert rows(table.read(), "x") == [(0,), (1,), (2,)]
+    assert rows(table.read(version=0), "x") == [(0,)]
+
+
+def test_a_merge_rewrites_the_parts_it_touches(spark, tmp_path, monkeypatch):
+    table = CommittedTable(spark, str(tmp_path), struct("x bigint, n bigint"), F.col("x") % 4)
+    add = lambda kept, new: kept.unionByName(new).groupBy("x").agg(F.sum("n").alias("n"))
+    table.merge(spark.range(8).selectExpr("id x", "1L n"), "s", 0, add)
+    before = table.manifest().parts
+    table.merge(spark.createDataFrame([(1, 5), (5, 5), (21, 5)], "x bigint, n bigint"), "s", 1, add)
+    after = table.manifest().parts
+    assert {p for p in after if after[p] != before[p]} == {"1"}
+    assert rows(table.read(["1"]), "x") == [(1, 6), (5, 6), (21, 5)]
+    # a job that dies before its manifest leaves the table as it was, and comes again
+    monkeypatch.setattr(table, "_commit", lambda new: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        table.merge(spark.createDataFrame([(1, 100)], "x bigint, n bigint"), "s", 2, add)
+    monkeypatch.undo()
+    assert table.read().agg(F.sum("n")).first()[0] == 23
+    assert table.merge(spark.createDataFrame([(1, 100)], "x bigint, n bigint"), "s", 2, add)
+    assert table.read().agg(F.sum("n")).first()[0] == 123
+    # two writers of one version
+    stale = table.manifest(1)
+    with pytest.raises(Conflict):
+        table._commit(stale)
+
+
+def test_late_rows_are_kept_aside(spark, tmp_path):
+    root, day = str(tmp_path), lambda d: datetime(2024, 1, 1) + timedelta(days=d)
+    frames = [
+        spark.createDataFrame(r, "x int, event_time timestamp")
+        for r in ([(1, day(0)), (2, day(20))], [(3, day(12)), (4, day(13)), (5, day(25)), (6, None)], [(7, day(17)), (8, day(18))])
+    ]
+    stream = in_order(spark, frames, f"{root}/in")
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{root}/kept/batch_id={batch_id}")
+
+    done(jobs.run(jobs.split_late(stream, root, keep), f"{root}/log"))
+    assert rows(spark.read.parquet(f"{root}/kept").select("x"), "x") == [(1,), (2,), (4,), (5,), (6,), (8,)]
+    assert rows(jobs.late_table(spark, root, frames[0].schema).select("x", "batch_id"), "x") == [(3, 1), (7, 2)]
 
 
 def test_late_rows_and_bursts(frame):
