@@ -148,17 +148,29 @@ def q_drift_level(spark, sf):
     ref, _ = halves(spark, sf)
     profile = psi_profile(to_long(ref, [], FEATURES), n_bins=BINS)
     levels = drift_level(drift_scores(buffers(spark, sf), profile))
-    return shown(levels.withColumn("psi_scores", F.to_json("psi_scores")).drop("psi_scores"))
+    return shown(levels.withColumn("psi_scores", listed("psi_scores")))
+
+
+def listed(scores):
+    """feature=psi in ten-thousandths, by feature."""
+    return F.array_join(
+        F.transform(
+            F.map_entries(scores), lambda e: F.concat_ws("=", e["key"], F.round(e["value"] * 10_000).cast("long").cast("string"))
+        ),
+        ",",
+    )
 
 
 BUFFER = """buf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field_id, feature
     ORDER BY ts DESC, event_id DESC) AS rn FROM cur) WHERE rn <= 500)"""
 
+LEVELS = """max(round(psi, 4)) AS m,
+    string_agg(feature || '=' || CAST(round(round(psi, 4) * 10000) AS BIGINT), ',' ORDER BY feature) AS psi_scores"""
+LEVEL = """round(m, 4) AS max_psi, m > 0.5 AS drift_warning,
+  CASE WHEN m > 0.5 THEN 'red' WHEN m > 0.25 THEN 'amber' ELSE 'green' END AS drift_level, psi_scores"""
 LEVEL_SQL = f"""WITH {LONG}, {BUFFER}, {psi_sql('buf', 'field_id, feature')},
-  f AS (SELECT field_id, max(round(psi, 4)) AS m FROM scored
-    GROUP BY field_id)
-SELECT field_id, round(m, 4) AS max_psi, m > 0.5 AS drift_warning,
-  CASE WHEN m > 0.5 THEN 'red' WHEN m > 0.25 THEN 'amber' ELSE 'green' END AS drift_level FROM f"""
+  f AS (SELECT field_id, {LEVELS} FROM scored GROUP BY field_id)
+SELECT field_id, {LEVEL} FROM f"""
 
 
 def q_retrain_decision(spark, sf):
@@ -176,23 +188,19 @@ SELECT field_id, count(*) FILTER (psi > 0.01) AS breached_feature_count,
 
 
 def season_pairs(spark, sf):
-    rows = predictions(spark, sf).withColumn("season", season_of("ts"))
-    year = F.year("ts")
-    ref = regression_metrics_by(
-        rows.filter(year == 1996), ["season"], "yield_kg_per_ha", "prediction"
-    )
-    cur = regression_metrics_by(
-        rows.filter(year == 2000), ["season"], "yield_kg_per_ha", "prediction"
-    )
-    return seasonal_rmse(cur, ref)
+    """Every season of every year with the same season of the year before."""
+    rows = predictions(spark, sf).withColumns({"name": season_of("ts"), "year": F.year("ts")})
+    found = regression_metrics_by(rows, ["name", "year"], "yield_kg_per_ha", "prediction")
+    named = lambda year: found.withColumn("season", F.concat_ws("-", year.cast("string"), "name"))
+    return seasonal_rmse(named(F.col("year")), named(F.col("year") + 1))
 
 
 SEASON_CASE = """CASE WHEN month(ts) BETWEEN 3 AND 5 THEN 'Spring' WHEN month(ts) BETWEEN 6 AND 8
     THEN 'Summer' WHEN month(ts) BETWEEN 9 AND 11 THEN 'Autumn' ELSE 'Winter' END"""
 SEASON_RMSE = f"""{PREDICTIONS}, s AS (SELECT {SEASON_CASE} AS season, year(ts) AS yr, {METRICS}
     FROM pred GROUP BY ALL),
-  paired AS (SELECT c.season, c.rmse AS current_rmse, r.rmse AS reference_rmse
-    FROM s c JOIN s r ON c.season = r.season AND c.yr = 2000 AND r.yr = 1996)"""
+  paired AS (SELECT c.yr || '-' || c.season AS season, c.rmse AS current_rmse, r.rmse AS reference_rmse
+    FROM s c JOIN s r ON c.season = r.season AND c.yr = r.yr + 1)"""
 
 
 def q_retrain_rmse(spark, sf):

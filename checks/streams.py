@@ -6,21 +6,23 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from checks.drift import FEATURES, LONG, MIDDLE
+from checks.drift import FEATURES, LEVEL, LEVELS, LONG, MIDDLE, listed, psi_sql, wide_events
 from checks.features import SOIL_AGGS, SOIL_COLS, WEEK
 from checks.tables import READINGS, load, readings, rounded, scratch, shown, ts_sql
 from fieldlens.operators.drift import psi_profile, to_long
 from fieldlens.schemas import SOIL
 from fieldlens.sources.tables import read_landing
 from fieldlens.sources.topics import read_topic_files, to_topic_files
+from fieldlens.streaming.buffers import buffer_table
 from fieldlens.streaming.jobs import (
     drift_stream,
-    buffer_table,
     ingest_stream,
+    late_table,
     latest_stream,
     latest_table,
     run,
     soil_weekly_stream,
+    split_late,
 )
 
 LIMIT = 600
@@ -57,30 +59,87 @@ STREAM_WEEKLY_SQL = f"""WITH {READINGS}, w AS (
 SELECT field_id, {WEEK}, {rounded(*SOIL_COLS)} FROM w"""
 
 
+def in_order(frames, spark):
+    """The frames as files that are streamed one after the other."""
+    path = f"{scratch(spark)}/source"
+    for df in frames:
+        df.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def drift_values(spark, sf):
-    k = F.get_json_object("props", "$.k").cast("double")
-    wide = load(spark, sf, "events").select(
-        F.col("event_type").alias("field_id"), "ts", F.col("event_id").alias("tie"),
-        F.when(F.col("event_type") != "error", F.col("value")).alias(FEATURES[0]),
-        k.alias(FEATURES[1]),
-    )
-    return to_long(wide, ["field_id", "ts", "tie"], FEATURES[:2])
+    wide = wide_events(spark, sf).withColumn("tie", F.col("event_id"))
+    return to_long(wide, ["field_id", "ts", "tie"], FEATURES)
+
+
+def profile_of(rows):
+    return psi_profile(rows.filter(F.col("ts") < MIDDLE).select("feature", "value"))
 
 
 def q_stream_drift(spark, sf):
-    """Buffers after three micro-batches."""
+    """Buffers of all columns after three micro-batches in no order of time."""
     rows = drift_values(spark, sf)
-    profile = psi_profile(rows.filter(F.col("ts") < MIDDLE).select("feature", "value"))
     root = scratch(spark)
     stream = staged(rows, spark)
-    finished(run(drift_stream(stream, profile, root, ttl=timedelta(days=7)), f"{root}/log"))
-    return shown(buffer_table(spark, root))
+    writer = drift_stream(stream, profile_of(rows), root, ttl=timedelta(days=7), delay="60 days")
+    finished(run(writer, f"{root}/log"))
+    return shown(buffer_table(spark, f"{root}/log"))
 
 
 STREAM_DRIFT_SQL = f"""WITH {LONG}
 SELECT field_id, feature, {ts_sql('ts')} AS ts, round(value, 6) AS value, event_id AS tie FROM (
   SELECT *, row_number() OVER (PARTITION BY field_id, feature ORDER BY ts DESC, event_id DESC) AS rn
-  FROM long WHERE feature IN ('{FEATURES[0]}', '{FEATURES[1]}')) WHERE rn <= 500"""
+  FROM long) WHERE rn <= 500"""
+
+CUTS = ["2024-01-11", "2024-01-21"]
+
+
+def q_stream_drift_levels(spark, sf):
+    """Verdicts after each of three batches, which follow one another in time."""
+    rows = drift_values(spark, sf)
+    ts = F.col("ts")
+    parts = [rows.filter(ts < CUTS[0]), rows.filter((ts >= CUTS[0]) & (ts < CUTS[1])), rows.filter(ts >= CUTS[1])]
+    root = scratch(spark)
+    writer = drift_stream(in_order(parts, spark), profile_of(rows), root, ttl=timedelta(days=7))
+    finished(run(writer, f"{root}/log"))
+    levels = spark.read.parquet(f"{root}/levels")
+    # a batch without data may follow, to fire timers
+    return shown(levels.filter("batch_id < 3").withColumn("psi_scores", listed("psi_scores")))
+
+
+STREAM_LEVELS_SQL = f"""WITH {LONG}, cuts(batch_id, upto) AS (VALUES
+    (0, TIMESTAMP '{CUTS[0]}'), (1, TIMESTAMP '{CUTS[1]}'), (2, TIMESTAMP '2100-01-01')),
+  buf AS (SELECT * FROM (SELECT long.*, batch_id, row_number() OVER (PARTITION BY batch_id, field_id, feature
+    ORDER BY ts DESC, event_id DESC) AS rn FROM long JOIN cuts ON ts < upto) WHERE rn <= 500),
+  {psi_sql('buf', 'batch_id, field_id, feature')},
+  f AS (SELECT batch_id, field_id, {LEVELS} FROM scored GROUP BY batch_id, field_id)
+SELECT batch_id, field_id, {LEVEL} FROM f"""
+
+
+def q_stream_late(spark, sf):
+    """Every event once: in time, or late because the days before the last ones come last."""
+    rows = load(spark, sf, "events").withColumnRenamed("ts", "event_time")
+    ts = F.col("event_time")
+    parts = [rows.filter(ts < CUTS[0]), rows.filter(ts >= CUTS[1]), rows.filter((ts >= CUTS[0]) & (ts < CUTS[1]))]
+    root = scratch(spark)
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{root}/kept/batch_id={batch_id}")
+
+    finished(run(split_late(in_order(parts, spark), root, keep, delay="14 days"), f"{root}/log"))
+    kept = spark.read.parquet(f"{root}/kept").withColumn("late", F.lit(False))
+    found = kept.unionByName(late_table(spark, root, rows.schema).withColumn("late", F.lit(True)), True)
+    counted = found.groupBy("event_type", "late").agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_time").alias("first"), F.max("event_time").alias("last")
+    )
+    return shown(counted)
+
+
+STREAM_LATE_SQL = f"""WITH m AS (SELECT max(ts) - INTERVAL 14 DAY AS mark FROM events),
+  e AS (SELECT event_type, ts, ts >= TIMESTAMP '{CUTS[0]}' AND ts < TIMESTAMP '{CUTS[1]}' AND ts < mark AS late
+    FROM events, m)
+SELECT event_type, late, count(*) AS n, {ts_sql('min(ts)')} AS "first", {ts_sql('max(ts)')} AS "last"
+FROM e GROUP BY event_type, late"""
 
 
 def q_stream_ingest(spark, sf):
@@ -126,6 +185,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_
 QUERIES = {
     "stream_weekly": (q_stream_weekly, STREAM_WEEKLY_SQL),
     "stream_drift": (q_stream_drift, STREAM_DRIFT_SQL),
+    "stream_drift_levels": (q_stream_drift_levels, STREAM_LEVELS_SQL),
+    "stream_late": (q_stream_late, STREAM_LATE_SQL),
     "stream_ingest": (q_stream_ingest, INGEST_SQL),
     "stream_latest": (q_stream_latest, STREAM_LATEST_SQL),
 }
