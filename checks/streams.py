@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from checks.contracts import BAD, ORDERED_SUITE, SHARE, raw_messages, report_cte
 from checks.drift import FEATURES, LEVEL, LEVELS, LONG, MIDDLE, listed, psi_sql, wide_events
 from checks.features import SOIL_AGGS, SOIL_COLS, WEEK
 from checks.tables import READINGS, load, readings, rounded, scratch, shown, ts_sql
@@ -15,12 +16,16 @@ from fieldlens.sources.tables import read_landing
 from fieldlens.sources.topics import read_topic_files, to_topic_files
 from fieldlens.streaming.buffers import buffer_table
 from fieldlens.streaming.jobs import (
+    contract_stream,
+    contract_table,
     drift_stream,
     ingest_stream,
+    landing,
     late_table,
     latest_stream,
     latest_table,
     run,
+    settled_windows,
     soil_weekly_stream,
     split_late,
 )
@@ -168,6 +173,49 @@ INGEST_SQL = f"""WITH {READINGS} SELECT field_id, fault_mode, count(*) AS n,
   min(timestamp) AS first, max(timestamp) AS last FROM readings GROUP BY ALL"""
 
 
+def q_stream_quarantine(spark, sf):
+    """Broken messages, releases without a device, rows outside the limits and sound ones: each lands in one place."""
+    root, topic = scratch(spark), "soil-sensors"
+    raw_messages(spark, sf).select("key", "value").repartition(3, "key").write.json(f"{root}/topic")
+    raw = read_topic_files(spark, f"{root}/topic", files_per_batch=1)
+    writer = lambda: ingest_stream(raw, topic, root, by_row=True)
+    finished(run(writer(), f"{root}/log"))
+    # the same files from a new checkpoint add nothing
+    finished(run(writer(), f"{root}/another-log"))
+    count = F.count(F.lit(1)).alias("n")
+    read = lambda kind: spark.read.option("recursiveFileLookup", True).parquet(f"{root}/{kind}/{topic}")
+    landed = landing(spark, root, topic).read().groupBy(F.lit("accepted").alias("place"), "fault_mode").agg(count)
+    aside = read("quarantine").groupBy(F.lit("quarantined").alias("place"), "fault_mode").agg(count)
+    broken = read("dead-letter").groupBy(F.lit("dead letter").alias("place"), F.col("error").alias("fault_mode"))
+    return landed.unionByName(aside).unionByName(broken.agg(count))
+
+
+STREAM_QUARANTINE_SQL = f"""WITH {READINGS} SELECT CASE WHEN fault_mode IN ('DROPOUT', 'BURST') THEN 'dead letter'
+    WHEN {BAD} THEN 'quarantined' ELSE 'accepted' END AS place,
+  CASE fault_mode WHEN 'DROPOUT' THEN 'malformed_json' WHEN 'BURST' THEN 'missing_device_id' ELSE fault_mode END AS fault_mode,
+  count(*) AS n FROM readings GROUP BY ALL"""
+
+
+def q_contract_windows(spark, sf):
+    """Reports per day from states that were merged batch by batch, in the order of arrival."""
+    rows = readings(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    last = rows.agg(F.max("event_id")).first()[0]
+    third = F.floor(F.col("event_id") * 3 / (last + 1))
+    root, keys = scratch(spark), ["day", "device_id"]
+    stream = in_order([rows.filter(third == k) for k in range(3)], spark)
+    finished(run(contract_stream(stream, root, ORDERED_SUITE, keys, "day"), f"{root}/log"))
+    table = contract_table(spark, root, rows, ORDERED_SUITE, keys, "day")
+    return shown(settled_windows(table, ORDERED_SUITE, "day", "2024-01-29"))
+
+
+DAY = "strftime(ts, '%Y-%m-%d') AS day, "
+CONTRACT_WINDOWS_SQL = f"""WITH {READINGS}, step AS (SELECT {DAY}timestamp AS v, lag(timestamp) OVER (
+    PARTITION BY device_id, strftime(ts, '%Y-%m-%d') ORDER BY event_id, timestamp) AS prev FROM readings),
+  r AS ({report_cte(DAY)} UNION ALL SELECT day, 'increasing', 'timestamp', count(prev),
+    count(*) FILTER (v <= prev), 1.0::DOUBLE FROM step GROUP BY day)
+SELECT *, round({SHARE}, 6) AS share_ok, {SHARE} >= mostly AS success FROM r WHERE day < '2024-01-29'"""
+
+
 def q_stream_latest(spark, sf):
     rows = load(spark, sf, "events")
     root = scratch(spark)
@@ -188,5 +236,7 @@ QUERIES = {
     "stream_drift_levels": (q_stream_drift_levels, STREAM_LEVELS_SQL),
     "stream_late": (q_stream_late, STREAM_LATE_SQL),
     "stream_ingest": (q_stream_ingest, INGEST_SQL),
+    "stream_quarantine": (q_stream_quarantine, STREAM_QUARANTINE_SQL),
+    "contract_windows": (q_contract_windows, CONTRACT_WINDOWS_SQL),
     "stream_latest": (q_stream_latest, STREAM_LATEST_SQL),
 }

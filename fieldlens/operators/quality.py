@@ -105,6 +105,13 @@ SUITES = {
 }
 INCREASING_KEYS = {"soil-sensors": ("device_id",), "weather-events": ("station_id",)}
 
+
+def ordered_suite(topic: str, order: str = "received") -> list:
+    """The topic's suite with the check that a device's times increase, in the order in which its rows arrived."""
+    keys = INCREASING_KEYS.get(topic)
+    return [*SUITES[topic], *([Increasing("timestamp", order, keys)] if keys else [])]
+
+
 # --- fixed values: feature contract (feature, min, max, nullable) ----------------------
 FEATURE_CONTRACT = [
     ("rainfall_today_mm", 0.0, 150.0, False),
@@ -170,15 +177,9 @@ def strictly_increasing(
 
 
 
-def validate(df: DataFrame, suite: Sequence, keys: Sequence[str] = ()) -> DataFrame:
-    """One report row per check (and `keys`). All plain checks share a single aggregation."""
-    keys = list(keys)
-    plain = [c for c in suite if not isinstance(c, Increasing)]
-    counted = df.groupBy(*keys).agg(
-        *[F.count_if(c.checked()).alias(f"_n{i}") for i, c in enumerate(plain)],
-        *[F.count_if(c.checked() & c.bad()).alias(f"_b{i}") for i, c in enumerate(plain)],
-    )
-    rows = F.array(
+def _report_rows(suite: Sequence) -> Column:
+    """The counts `_n0`, `_b0`, … of a suite's checks as report rows."""
+    return F.array(
         *[
             F.struct(
                 F.lit(c.kind).alias("check"),
@@ -187,10 +188,27 @@ def validate(df: DataFrame, suite: Sequence, keys: Sequence[str] = ()) -> DataFr
                 F.col(f"_b{i}").alias("n_bad"),
                 F.lit(float(c.mostly)).alias("mostly"),
             )
-            for i, c in enumerate(plain)
+            for i, c in enumerate(suite)
         ]
     )
-    report = counted.select(*keys, F.inline(rows))
+
+
+def _judged(report: DataFrame) -> DataFrame:
+    good = F.try_divide(F.col("n_checked") - F.col("n_bad"), F.col("n_checked"))
+    return report.withColumn("share_ok", F.coalesce(good, F.lit(1.0))).withColumn(
+        "success", F.col("share_ok") >= F.col("mostly")
+    )
+
+
+def validate(df: DataFrame, suite: Sequence, keys: Sequence[str] = ()) -> DataFrame:
+    """One report row per check (and `keys`). All plain checks share a single aggregation."""
+    keys = list(keys)
+    plain = [c for c in suite if not isinstance(c, Increasing)]
+    counted = df.groupBy(*keys).agg(
+        *[F.count_if(c.checked()).alias(f"_n{i}") for i, c in enumerate(plain)],
+        *[F.count_if(c.checked() & c.bad()).alias(f"_b{i}") for i, c in enumerate(plain)],
+    )
+    report = counted.select(*keys, F.inline(_report_rows(plain)))
     for c in suite:
         if isinstance(c, Increasing):
             found = violations_in_order(df, c.col, c.order, [*keys, *c.keys])
@@ -208,10 +226,58 @@ def validate(df: DataFrame, suite: Sequence, keys: Sequence[str] = ()) -> DataFr
                     F.lit(1.0).alias("mostly"),
                 )
             )
-    good = F.try_divide(F.col("n_checked") - F.col("n_bad"), F.col("n_checked"))
-    return report.withColumn("share_ok", F.coalesce(good, F.lit(1.0))).withColumn(
-        "success", F.col("share_ok") >= F.col("mostly")
+    return _judged(report)
+
+
+# --- contracts across batches ----------------------------------------------------------
+
+
+def contract_state(df: DataFrame, suite: Sequence, keys: Sequence[str]) -> DataFrame:
+    """What a batch adds to the checks of each of `keys`, which name a window and a device.
+
+    Counts per check; for an increasing column also its first and last value, in its order, so that batches that arrive
+    one after the other can be joined. `keys` hold the keys of the increasing checks.
+    """
+    keys, out = list(keys), []
+    for i, c in enumerate(suite):
+        if isinstance(c, Increasing):
+            known = F.col(c.col).isNotNull() & F.col(c.order).isNotNull()
+            item = F.when(known, F.struct(F.col(c.order).alias("o"), F.col(c.col).alias("v")))
+            inside = Window.partitionBy(*keys).orderBy(item.isNull(), item)
+            before = F.when(known, F.lag(item).over(inside))
+            df = df.withColumn(f"_v{i}", item).withColumn(f"_l{i}", before)
+            pair = F.col(f"_l{i}").isNotNull()
+            bad = pair & (F.col(f"_v{i}.v") <= F.col(f"_l{i}.v"))
+            out += [F.count_if(pair).alias(f"_n{i}"), F.count_if(bad).alias(f"_b{i}")]
+            out += [F.min(f"_v{i}").alias(f"_f{i}"), F.max(f"_v{i}").alias(f"_t{i}")]
+        else:
+            out += [F.count_if(c.checked()).alias(f"_n{i}"), F.count_if(c.checked() & c.bad()).alias(f"_b{i}")]
+    return df.groupBy(*keys).agg(*out)
+
+
+def merged_states(kept: DataFrame, batch: DataFrame, suite: Sequence, keys: Sequence[str]) -> DataFrame:
+    """The state after a batch. There are two rows per key at most, the kept one and the batch's."""
+    keys, out = list(keys), []
+    rows = kept.unionByName(batch)
+    for i, c in enumerate(suite):
+        if isinstance(c, Increasing):
+            along = Window.partitionBy(*keys).orderBy(F.col(f"_f{i}").isNull(), f"_f{i}")
+            rows = rows.withColumn(f"_l{i}", F.when(F.col(f"_f{i}").isNotNull(), F.lag(f"_t{i}").over(along)))
+            seam = F.col(f"_l{i}").isNotNull()
+            bad = seam & (F.col(f"_f{i}.v") <= F.col(f"_l{i}.v"))
+            out += [(F.sum(f"_n{i}") + F.count_if(seam)).alias(f"_n{i}"), (F.sum(f"_b{i}") + F.count_if(bad)).alias(f"_b{i}")]
+            out += [F.min(f"_f{i}").alias(f"_f{i}"), F.max(f"_t{i}").alias(f"_t{i}")]
+        else:
+            out += [F.sum(f"_n{i}").alias(f"_n{i}"), F.sum(f"_b{i}").alias(f"_b{i}")]
+    return rows.groupBy(*keys).agg(*out)
+
+
+def state_report(state: DataFrame, suite: Sequence, keys: Sequence[str] = ()) -> DataFrame:
+    """The report of `validate` from states; `keys` name the window, devices are added up."""
+    sums = state.groupBy(*keys).agg(
+        *[F.sum(f"_{x}{i}").alias(f"_{x}{i}") for i in range(len(suite)) for x in ("n", "b")]
     )
+    return _judged(sums.select(*keys, F.inline(_report_rows(suite))))
 
 
 def verdict(report: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -330,6 +396,24 @@ def parse_json(
     return parsed.withColumn("_error", problem)
 
 
+def usable(parsed: DataFrame, schema: T.StructType, carried: Mapping[str, Column] | None = None) -> DataFrame:
+    """The rows of `parse_json` without an error, with further columns of the message if asked for."""
+    more = [column.alias(name) for name, column in (carried or {}).items()]
+    return parsed.filter("_error is null").select(
+        *[F.col(f"_row.{f.name}").alias(f.name) for f in schema.fields], *more
+    )
+
+
+def unusable(parsed: DataFrame, at: Column, value: str = "value", key: str = "key") -> DataFrame:
+    """Dead letters: key, error, epoch-ms time and the original text."""
+    return parsed.filter("_error is not null").select(
+        F.col(key).alias("key"),
+        F.col("_error").alias("error"),
+        F.unix_millis(at).alias("timestamp"),
+        F.col(value).alias("value"),
+    )
+
+
 def dead_letter(
     raw: DataFrame,
     schema: T.StructType,
@@ -338,18 +422,9 @@ def dead_letter(
     value: str = "value",
     key: str = "key",
 ) -> tuple[DataFrame, DataFrame]:
-    """(usable rows, dead letters with key, error, epoch-ms time and the original text)."""
+    """(usable rows, dead letters). Both read the messages; a job that needs both keeps `parse_json` of them."""
     parsed = parse_json(raw, schema, required, value)
-    good = parsed.filter("_error is null").select(
-        *[F.col(f"_row.{f.name}").alias(f.name) for f in schema.fields]
-    )
-    bad = parsed.filter("_error is not null").select(
-        F.col(key).alias("key"),
-        F.col("_error").alias("error"),
-        F.unix_millis(at).alias("timestamp"),
-        F.col(value).alias("value"),
-    )
-    return good, bad
+    return usable(parsed, schema), unusable(parsed, at, value, key)
 
 
 REQUIRED: Mapping[str, Sequence[str]] = {

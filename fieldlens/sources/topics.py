@@ -31,11 +31,11 @@ def read_topic(spark: SparkSession, topic: str, servers: str, starting: str = "e
 def read_topic_files(
     spark: SparkSession, path: str, stream: bool = True, files_per_batch: int | None = None
 ) -> DataFrame:
-    """The same from a folder of JSON lines {"key": …, "value": "…"}."""
+    """The same from a folder of JSON lines {"key": …, "value": "…"}, with the file of each as `source`."""
     reader = (spark.readStream if stream else spark.read).schema(RAW)
     if stream and files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(path)
+    return reader.json(path).select("key", "value", F.col("_metadata.file_path").alias("source"))
 
 
 def to_messages(df: DataFrame, key: str) -> DataFrame:

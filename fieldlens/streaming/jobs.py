@@ -18,7 +18,20 @@ from fieldlens.operators.drift import (
     drift_level,
     drift_scores,
 )
-from fieldlens.operators.quality import REQUIRED, SUITES, dead_letter, split_rows, validate, verdict
+from fieldlens.operators.quality import (
+    REQUIRED,
+    SUITES,
+    contract_state,
+    dead_letter,
+    merged_states,
+    parse_json,
+    split_rows,
+    state_report,
+    unusable,
+    usable,
+    validate,
+    verdict,
+)
 from fieldlens.operators.weekly import soil_statistics, weather_statistics
 from fieldlens.schemas import TOPICS, struct
 from fieldlens.sources.commits import CommittedTable, bucket
@@ -40,6 +53,12 @@ def run(writer: DataStreamWriter, checkpoint: str, interval: str | None = None):
 # --- ingestion -----------------------------------------------------------------------
 
 
+def landing(spark, root: str, topic: str) -> CommittedTable:
+    """The accepted rows of a topic by event date, with the time at which each arrived."""
+    schema = T.StructType([*TOPICS[topic].fields, T.StructField("received", T.TimestampType())])
+    return CommittedTable(spark, f"{root}/landing/{topic}", schema, F.to_date(event_time("timestamp")))
+
+
 def route_batch(
     batch: DataFrame,
     batch_id: int,
@@ -51,29 +70,34 @@ def route_batch(
 ) -> bool:
     """Parse, check and store one batch of raw messages; returns whether it was accepted.
 
-    Unusable messages go to the dead letters. A batch that fails its contract is quarantined
-    whole; with `by_row` only the offending rows are.
+    Unusable messages go to the dead letters. A batch that fails its contract is quarantined whole; with `by_row` only
+    the offending rows are. Messages are parsed once. The landing table's commit comes last and names the files that the
+    batch has read, where the source tells: a batch that is repeated, and files that a new checkpoint brings again, add
+    nothing twice.
     """
     suite = SUITES[topic] if suite is None else suite
-    good, bad = dead_letter(batch, TOPICS[topic], REQUIRED[topic], at)
-    good, bad = good.persist(), bad.persist()
+    name, table = stream_name(batch), landing(batch.sparkSession, root, topic)
+    sources = []
+    if "source" in batch.columns:
+        batch = table.fresh(batch, "source")
+    parsed = parse_json(batch.withColumn("received", at), TOPICS[topic], REQUIRED[topic]).persist()
     try:
+        if "source" in batch.columns:
+            # the files of one batch
+            sources = [r[0] for r in parsed.select("source").distinct().collect()]
+        good = usable(parsed, TOPICS[topic], {"received": F.col("received")})
         report = validate(good, suite)
         valid = bool(verdict(report).first().valid)
-        land(bad, f"{root}/dead-letter/{topic}", batch_id)
-        if valid:
-            land(good, f"{root}/landing/{topic}", batch_id)
-        elif by_row:
-            accepted, rejected = split_rows(good, suite)
-            land(accepted, f"{root}/landing/{topic}", batch_id)
-            land(rejected, f"{root}/quarantine/{topic}", batch_id)
-        else:
-            land(good, f"{root}/quarantine/{topic}", batch_id)
-        land(report, f"{root}/reports/{topic}", batch_id)
+        aside = f"stream={name}"
+        land(unusable(parsed, F.col("received")), f"{root}/dead-letter/{topic}/{aside}", batch_id)
+        land(report, f"{root}/reports/{topic}/{aside}", batch_id)
+        accepted, rejected = (good, None) if valid else split_rows(good, suite) if by_row else (good.limit(0), good)
+        if rejected is not None:
+            land(rejected, f"{root}/quarantine/{topic}/{aside}", batch_id)
+        table.append(accepted, name, batch_id, sources)
         return valid
     finally:
-        good.unpersist()
-        bad.unpersist()
+        parsed.unpersist()
 
 
 def ingest_stream(
@@ -153,6 +177,39 @@ def fault_rates(
     )
 
 
+# --- contracts across batches --------------------------------------------------------
+
+
+def contract_table(spark, root: str, rows: DataFrame, suite: Sequence, keys: Sequence[str], window: str) -> CommittedTable:
+    """The state of a contract per window and device; a window is a part of the table."""
+    schema = contract_state(spark.createDataFrame([], rows.schema), suite, keys).schema
+    return CommittedTable(spark, f"{root}/contract", schema, F.col(window))
+
+
+def contract_stream(rows: DataFrame, root: str, suite: Sequence, keys: Sequence[str], window: str) -> DataStreamWriter:
+    """Keep the state of a contract over the batches of a stream; `keys` are the window and the device.
+
+    Verdicts of a window follow from all its rows, wherever batches end. A batch rewrites the windows it touches.
+    """
+    keys = list(dict.fromkeys([window, *keys]))
+    table = contract_table(rows.sparkSession, root, rows, suite, keys, window)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        added = contract_state(batch, suite, keys).persist()
+        try:
+            table.merge(added, stream_name(batch), batch_id, lambda kept, new: merged_states(kept, new, suite, keys))
+        finally:
+            added.unpersist()
+
+    return rows.writeStream.foreachBatch(handle)
+
+
+def settled_windows(table: CommittedTable, suite: Sequence, window: str, before) -> DataFrame:
+    """Reports of the windows that lie before a mark: no row of theirs is still expected."""
+    parts = [p for p in table.manifest().parts if p < str(before)]
+    return state_report(table.read(parts), suite, [window])
+
+
 # --- late rows -----------------------------------------------------------------------
 
 
