@@ -271,20 +271,20 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list:
 SPANS = "array<struct<begin:int,end:int>>"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, clean: bool = False
+) -> DataFrame:
     """Add n_words, spans (ranges of words inside a window of a test item, merged) and items (their ids).
 
+    With `clean`, also the text without the spans, from the same pass; it is null where nothing is cut.
+
     A window is ten consecutive words of an item; an item of fewer, but not none, is one window. Null texts and null
     items have no words. An item without an id is called "". Items that share an id count as one. Columns of these
     names are replaced; all others stay. Tasks index their rows shard by shard, so nothing is shuffled.
     """
-    docs = docs.drop("n_words", "spans", "items")
-    found = docs.withColumns(
-        {"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPANS), "items": F.array().cast("array<string>")}
-    )
-    schema = found.schema
-    for field in schema.fields[-3:]:
-        field.nullable = True
+    new = {"n_words": "long", "spans": SPANS, "items": "array<string>"} | ({"clean": "string"} if clean else {})
+    docs = docs.drop(*new)
+    schema = docs.withColumns({c: F.lit(None).cast(kind) for c, kind in new.items()}).schema
     blocks = _blocks(benchmark, block_bytes)
 
     def search(batches):
@@ -295,39 +295,41 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
                 size += len(tokens.raw(piece.column("text"))[0])
                 # a word and the blank after it have about six bytes
                 if size >= 6 * SHARD_WORDS:
-                    yield from answers(held, blocks)
+                    yield from answers(held, blocks, clean)
                     held, size = [], 0
         if held:
-            yield from answers(held, blocks)
+            yield from answers(held, blocks, clean)
         tokens.give_back()
 
-    return found.mapInArrow(search, T.StructType(schema.fields))
+    return docs.mapInArrow(search, schema)
 
 
-def answers(batches: list[pa.RecordBatch], windows):
-    """The batches with their three last columns filled."""
+def answers(batches: list[pa.RecordBatch], windows, clean: bool):
+    """The batches with their new columns."""
     found = search_shard([b.column("text") for b in batches], windows)
     at = 0
     for batch in batches:
-        names = batch.schema.names
         own = found[at : at + batch.num_rows]
         at += batch.num_rows
-        spans = [[{"begin": b, "end": e} for b, e in found] for _, found, _ in own]
+        spans = [[{"begin": b, "end": e} for b, e in cut] for _, cut, _ in own]
         new = {
             "n_words": pa.array([n for n, _, _ in own], pa.int64()),
             "spans": pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))),
             "items": pa.array([sorted(names) for _, _, names in own], pa.list_(pa.string())),
         }
-        yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
+        if clean:
+            hit = pa.array([bool(x) for x in spans])
+            texts = iter(cut_texts(batch.column("text").filter(hit), [x for x in spans if x]).to_pylist())
+            new["clean"] = pa.array([next(texts) if x else None for x in spans], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], [*batch.schema.names, *new])
 
 
-@F.arrow_udf(T.StringType())
-def without_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
+def cut_texts(texts: pa.Array, spans: list) -> pa.Array:
     """Texts without their spans, each cut from its first word to its last."""
     words = tokens.split(texts, lower=True, kept=tokens.ALPHANUMERIC)
     data, offsets = tokens.raw(texts)
     out = []
-    for i, cut in enumerate(spans.to_pylist()):
+    for i, cut in enumerate(spans):
         if not texts[i].is_valid:
             out.append(None)
             continue
@@ -340,6 +342,12 @@ def without_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+@F.arrow_udf(T.StringType())
+def without_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts without their spans, each cut from its first word to its last."""
+    return cut_texts(texts, spans.to_pylist())
+
+
 def n_hit():
     return F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
 

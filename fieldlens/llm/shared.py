@@ -41,10 +41,20 @@ def fold(doc_id: Column, n: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
 
 
+# rows of documents that go to Python at once: some megabytes of text
+ARROW_ROWS = 1_000
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long rows: batches of fewer of them keep JVM and workers small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """Bytes of all texts; the number of buckets follows it, so that each bucket stays small."""
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
