@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
 from fieldlens.llm.ngram_join import text_key
-from fieldlens.llm.shared import broadcast_if_small, documents, shared_folder
+from fieldlens.llm.shared import broadcast_if_small, documents, shared_folder, small_batches
 
 READ = ("doc_id", "text", "source")
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -15,6 +15,7 @@ HAS_WORD = r"[^\x20\x09-\x0D]"
 
 def _packed(docs: DataFrame) -> DataFrame:
     """What the operators read, and all other columns as one, so that no name meets a name of theirs."""
+    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in READ]
     return docs.select(*READ, F.struct(*rest).alias("_rest") if rest else F.lit(None).cast("string").alias("_rest"))
 
@@ -69,9 +70,9 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Each row is searched by its own text, whatever its id; null and empty texts stay, and so do all without items.
     """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.find_contamination(_packed(docs), items)
+    found = decontaminate.find_contamination(_packed(docs), items, clean=True)
     found = found.withColumn("_hit", decontaminate.n_hit())
-    clean = F.when(F.col("_hit") == 0, F.col("text")).otherwise(decontaminate.without_spans("text", "spans"))
+    clean = F.coalesce("clean", "text")
     found = found.filter((F.col("_hit") == 0) | (F.col("_hit") < F.col("n_words")))
     return _unpacked(found, docs, clean)
 
