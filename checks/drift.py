@@ -31,6 +31,7 @@ from fieldlens.operators.drift import (
     to_long,
 )
 from fieldlens.operators.metrics import regression_metrics_by, season_of
+from fieldlens.operators.sketches import merged_sketches, profile_of_sketches, weekly_sketches
 from fieldlens.operators.reports import category_drift, column_drift, numeric_drift, performance_drift
 
 MIDDLE = "2024-01-16"
@@ -127,6 +128,20 @@ PSI_SQL = f"""WITH {LONG}, {psi_sql('cur', 'feature')}
 SELECT feature, n_ref AS n_reference, n_cur AS n_current, round(psi, 6) AS psi FROM scored"""
 
 
+def q_sketch_profile(spark, sf):
+    """A reference from sketches per week: values seen, and whether scores are those of the exact one."""
+    ref, cur = halves(spark, sf)
+    weeks = weekly_sketches(to_long(ref, ["ts"], FEATURES))
+    found = psi(profile_of_sketches(merged_sketches(weeks)), to_long(cur, [], FEATURES), n_bins=BINS)
+    exact = scores_by_feature(spark, sf).select("feature", F.col("psi").alias("exact"))
+    near = F.abs(F.col("psi") - F.col("exact")) < 0.02
+    return found.join(exact, "feature").select("feature", "n_reference", "n_current", near.alias("near"))
+
+
+SKETCH_SQL = f"""WITH {LONG}, {psi_sql('cur', 'feature')}
+SELECT feature, n_ref AS n_reference, n_cur AS n_current, TRUE AS near FROM scored"""
+
+
 def q_psi_by_user(spark, sf):
     """One verdict per (user, feature) against the shared reference."""
     ref, cur = halves(spark, sf)
@@ -335,6 +350,7 @@ SELECT CASE WHEN year(ts) < 1999 THEN 'reference' ELSE 'current' END AS side, co
 FROM pred GROUP BY side"""
 
 QUERIES = {
+    "sketch_profile": (q_sketch_profile, SKETCH_SQL),
     "psi_edges": (q_psi_edges, EDGES_SQL),
     "psi_by_feature": (q_psi_by_feature, PSI_SQL),
     "psi_by_user": (q_psi_by_user, PSI_USER_SQL),

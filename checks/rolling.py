@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.tables import DAILY, daily_climate, load, predictions, PREDICTIONS, rounded, shown, ts_sql
 from fieldlens.operators.asof import ndvi_delta
-from fieldlens.operators.rolling import gdd, per_day, rate, rolling_sum
+from fieldlens.operators.rolling import gdd, per_day, rate, rates, rolling_sum
 from fieldlens.operators.telemetry import (
     LATENCY_BUCKETS,
     bucket_histogram,
@@ -76,6 +76,36 @@ SELECT {keys}{ts_sql(f"make_timestamp(e * {slide_s}000000)")} AS window_end, cou
   round(count(*) / {window_s}, 6) AS rate_per_second FROM w GROUP BY ALL"""
 
 
+def q_rate_5m(spark, sf):
+    return shown(rate(load(spark, sf, "events"), "5 minutes", "5 minutes", ["event_type"]))
+
+
+def q_rate_7d(spark, sf):
+    return shown(rate(load(spark, sf, "events"), "7 days", "6 hours", ["event_type"]))
+
+
+WINDOWS = ["30 minutes", "1 hour", "24 hours", "7 days"]
+
+
+def q_rates(spark, sf):
+    """All windows of the dashboards from one count per half hour."""
+    return shown(rates(load(spark, sf, "events"), WINDOWS, "30 minutes", ["event_type"]))
+
+
+def rates_sql(slide_s, **windows):
+    parts = [
+        f"""SELECT event_type, '{name}' AS "window", {ts_sql(f"make_timestamp(e * {slide_s}000000)")} AS window_end,
+  count(*) AS increase, round(count(*) / {n}, 6) AS rate_per_second
+  FROM (SELECT event_type, step + unnest(range(1, {n // slide_s + 1})) AS e FROM s) GROUP BY event_type, e"""
+        for name, n in windows.items()
+    ]
+    steps = f"WITH s AS (SELECT event_type, epoch_us(ts) // {slide_s}000000 AS step FROM events)"
+    return f"{steps} {' UNION ALL '.join(parts)}"
+
+
+RATES_SQL = rates_sql(1800, **{"30 minutes": 1800, "1 hour": 3600, "24 hours": 86400, "7 days": 604800})
+
+
 def q_increase_24h(spark, sf):
     return shown(rate(load(spark, sf, "events"), "24 hours", "1 hour"))
 
@@ -141,6 +171,9 @@ QUERIES = {
     "gdd": (q_gdd, GDD_SQL),
     "delta_14d": (q_delta_14d, DELTA_SQL),
     "rate_1h": (q_rate_1h, rate_sql(3600, 300)),
+    "rate_5m": (q_rate_5m, rate_sql(300, 300)),
+    "rate_7d": (q_rate_7d, rate_sql(604800, 21600)),
+    "rates": (q_rates, RATES_SQL),
     "increase_24h": (q_increase_24h, rate_sql(86400, 3600, "")),
     "usage_counts": (q_usage_counts, USAGE_SQL),
     "bucket_histogram": (q_bucket_histogram, HISTOGRAM_SQL),

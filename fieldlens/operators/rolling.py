@@ -64,25 +64,47 @@ def _seconds(span: str) -> int:
     return int(amount) * size
 
 
-def rate(
-    log: DataFrame, window: str, slide: str, keys: Sequence[str] = (), ts: str = "ts"
+def rates(
+    log: DataFrame, windows: Sequence[str], slide: str, keys: Sequence[str] = (), ts: str = "ts"
 ) -> DataFrame:
-    """Events in each trailing window of length `window`, every `slide`, and their rate per second.
+    """For each of the trailing `windows` the events up to every `slide`, and their rate per second.
 
-    Rows are first counted per slide interval; only those counts are spread over the windows they
-    fall into.
+    Rows are counted once, per pane of length `slide`. A pane enters a window when it ends and leaves it when it is too
+    old: two changes, whatever the window's length, whose running sum is the count. Only the results are spelt out. A
+    key has no more panes than the calendar, so its running sum is short. Windows without events have no row.
     """
-    steps = log.groupBy(*keys, F.window(ts, slide).alias("_step")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    spread = steps.select(*keys, "_n", F.window(F.col("_step.start"), window, slide).alias("_w"))
-    return (
-        spread.groupBy(*keys, "_w")
-        .agg(F.sum("_n").alias("increase"))
-        .select(
-            *keys,
-            F.col("_w.end").alias("window_end"),
-            "increase",
-            (F.col("increase") / _seconds(window)).alias("rate_per_second"),
-        )
+    step = _seconds(slide)
+    pane = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (step * 1_000_000)).cast("long")
+    panes = log.filter(F.col(ts).isNotNull()).groupBy(*keys, pane.alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    changes = []
+    for w in windows:
+        if _seconds(w) % step:
+            raise ValueError(f"{w} is no multiple of {slide}")
+        length = _seconds(w) // step
+        changes += [
+            F.struct(F.lit(w).alias("window"), (F.col("_at") + 1).alias("_at"), F.col("_n").alias("_n")),
+            F.struct(F.lit(w).alias("window"), (F.col("_at") + 1 + length).alias("_at"), (-F.col("_n")).alias("_n")),
+        ]
+    changed = panes.select(*keys, F.inline(F.array(*changes)))
+    changed = changed.groupBy(*keys, "window", "_at").agg(F.sum("_n").alias("_n"))
+    along = Window.partitionBy(*keys, "window").orderBy("_at")
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = changed.withColumns({"increase": F.sum("_n").over(upto), "_next": F.lead("_at").over(along)})
+    ends = found.filter("increase > 0").withColumn("_end", F.explode(F.sequence("_at", F.col("_next") - 1)))
+    length = F.lit(None).cast("int")
+    for w in windows:
+        length = F.when(F.col("window") == w, F.lit(_seconds(w))).otherwise(length)
+    return ends.select(
+        *keys,
+        "window",
+        F.timestamp_micros(F.col("_end") * step * 1_000_000).alias("window_end"),
+        "increase",
+        (F.col("increase") / length).alias("rate_per_second"),
     )
+
+
+def rate(
+    log: DataFrame, window: str, slide: str, keys: Sequence[str] = (), ts: str = "ts"
+) -> DataFrame:
+    """`rates` of one window."""
+    return rates(log, [window], slide, keys, ts).drop("window")

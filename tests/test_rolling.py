@@ -2,6 +2,7 @@ from datetime import datetime
 
 import pytest
 from helpers import rows
+from pyspark.sql import functions as F
 
 from fieldlens.operators.rolling import gdd, per_day, rate, rolling_sum
 from fieldlens.operators.telemetry import (
@@ -61,3 +62,27 @@ def test_freshness(frame):
     assert freshness(df, "ts", datetime(2024, 1, 2, 0, 59)).first().fresh
     assert not freshness(df, "ts", datetime(2024, 1, 2, 1)).first().fresh
     assert not freshness(df.filter("false"), "ts", datetime(2024, 1, 2)).first().fresh
+
+
+def test_rates_of_several_windows_from_one_count(spark):
+    import random
+    from collections import Counter
+    from datetime import datetime, timedelta
+
+    from fieldlens.operators.rolling import rates
+
+    rng = random.Random(2)
+    start = datetime(2024, 1, 1)
+    rows_ = [(rng.choice("ab"), start + timedelta(seconds=rng.choice([5, 700, 90_000]) * rng.randrange(60))) for _ in range(150)]
+    log = spark.createDataFrame([*rows_, ("a", None)], "k string, ts timestamp")
+    lengths = {"10 minutes": 600, "1 hour": 3600, "24 hours": 86_400}
+    want = Counter()
+    for k, ts in rows_:
+        pane = int((ts - datetime(1970, 1, 1)).total_seconds()) // 600
+        for w, n in lengths.items():
+            for e in range(pane + 1, pane + 1 + n // 600):
+                want[k, w, e * 600] += 1
+    got = rates(log, list(lengths), "10 minutes", ["k"]).withColumn("at", F.unix_seconds("window_end")).collect()
+    assert {(r.k, r.window, r.at): r.increase for r in got} == dict(want)
+    assert all(r.rate_per_second == r.increase / lengths[r.window] for r in got)
+    assert rates(log.limit(0), ["1 hour"], "1 hour").collect() == []
