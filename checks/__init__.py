@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["features", "drift", "metrics", "rolling", "contracts", "scalars", "models", "streams"]
+MODULES = ["features", "drift", "metrics", "rolling", "contracts", "scalars", "models", "streams", "sources"]
 
 
 def catalog() -> dict:

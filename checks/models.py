@@ -7,7 +7,8 @@ from datetime import datetime
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from checks.tables import load, rounded, shown
+from checks.features import FIELDS, event_weather, fields_of, labels_of
+from checks.tables import READINGS, load, readings, rounded, scenes, scratch, shown
 from fieldlens.operators.asof import live_features, monthly_defaults
 from fieldlens.operators.drift import drift_level, drift_scores, psi_profile, rolling_buffer, to_long
 from fieldlens.operators.metrics import (
@@ -28,9 +29,12 @@ from fieldlens.plans.model import (
     vectors,
     with_interval,
 )
+from fieldlens.operators.quality import SENSOR_SUITE
 from fieldlens.plans.scoring import score
+from fieldlens.plans.weekly_run import BadBatch, WeekInputs, online_table, run_week
 from fieldlens.schemas import TARGET
 from fieldlens.session import cut_lineage
+from fieldlens.sources.tables import read_metrics
 
 FEATURES = ["lat", "area_ha", "ndvi", "soil_moisture", "year"]
 
@@ -220,7 +224,58 @@ def q_score_fields(spark, sf):
     return score(fields, live, drift, model, codes)
 
 
+WEEK_FEATURES = ["soil_temp_mean", "moisture_mean", "ph_mean", "air_temp_mean", "area_ha"]
+
+
+def q_weekly_run(spark, sf):
+    """Two weekly runs over the events, the second with the first one's champion: what each step leaves.
+
+    The fits have 20 trees: 750 rows and the steps around the fit are what is looked at.
+    """
+    soil = readings(spark, sf)
+    calm = soil.withColumns({"temperature": F.col("moisture") / 2, "nitrogen": F.col("moisture"), "potassium": F.col("moisture")})
+    inputs = WeekInputs(calm, event_weather(spark, sf), scenes(spark, sf), labels_of(spark, sf), fields_of(spark, sf),
+                        {"soil": SENSOR_SUITE})
+    root, out = scratch(spark), []
+    for run_id, day in (("first", 8), ("second", 15)):
+        report = run_week(root, inputs, WEEK_FEATURES, run_id, datetime(2024, 2, day), {"n_estimators": 20}, limit=1e9)
+        steps = {
+            "features": spark.read.parquet(f"{root}/features").count(),
+            "online": online_table(spark.read.parquet(f"{root}/features").drop("week"), root).read().count(),
+            "metrics": read_metrics(spark, f"{root}/metrics").filter(F.col("run_id") == run_id).count(),
+            "passed": int(report.gate.filter("passed").count()),
+            "promoted": int(report.promoted),
+            "drift": report.drift.count(),
+        }
+        out += [(run_id, step, n) for step, n in steps.items()]
+        out.append((run_id, "reason " + report.decision.first().reason, 1))
+    try:
+        bad = WeekInputs(soil, *[getattr(inputs, n) for n in ("weather", "scenes", "labels", "fields", "suites")])
+        run_week(root, bad, WEEK_FEATURES, "third", datetime(2024, 2, 22))
+    except BadBatch:
+        out.append(("third", "stopped", 1))
+    return spark.createDataFrame(out, "run_id string, step string, n long")
+
+
+WEEKLY_SQL = f"""WITH {READINGS}, {FIELDS},
+  f AS (SELECT DISTINCT field_id, week_start, crop_type FROM readings JOIN fields USING (field_id)),
+  l AS (SELECT DISTINCT 'F' || user_id AS field_id, date_trunc('week', ts) AS week_start FROM events WHERE event_type = 'signup'
+    AND value IS NOT NULL),
+  t AS (SELECT f.*, row_number() OVER (ORDER BY week_start) - 1 AS pos, count(*) OVER () AS n
+    FROM f JOIN l USING (field_id, week_start)),
+  runs(run_id) AS (VALUES ('first'), ('second'))
+SELECT run_id, 'features' AS step, (SELECT count(*) FROM f) AS n FROM runs
+UNION ALL SELECT run_id, 'online', (SELECT count(DISTINCT field_id) FROM f) FROM runs
+UNION ALL SELECT run_id, 'passed', 1 FROM runs
+UNION ALL SELECT run_id, 'drift', {len(WEEK_FEATURES)} FROM runs
+UNION ALL SELECT run_id, 'metrics', (SELECT count(DISTINCT crop_type) + 1 FROM t WHERE pos >= floor(n * 0.8)) FROM runs
+UNION ALL SELECT 'first', 'promoted', 1 UNION ALL SELECT 'second', 'promoted', 0
+UNION ALL SELECT 'first', 'reason no_champion', 1 UNION ALL SELECT 'second', 'reason gain_too_small', 1
+UNION ALL SELECT 'third', 'stopped', 1"""
+
+
 QUERIES = {
+    "weekly_run": (q_weekly_run, WEEKLY_SQL),
     "yield_model_score": (q_yield_model_score, SCORE_SQL),
     "interval_model": (q_interval_model, COVER_SQL),
     "importance": (q_importance, IMPORTANCE_SQL),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +86,21 @@ def read_wide_csv(spark: SparkSession, path: str, year: int | None = None) -> Da
     return df.withColumn("Year", F.lit(year)) if year is not None else df
 
 
+def year_of(path: str) -> int | None:
+    """The last year that a path names, as a folder or within a name."""
+    found = re.findall(r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])", path)
+    return int(found[-1]) if found else None
+
+
+def read_wide_years(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Wide tables of several years as one. Each has its own date columns, and its year as `Year`, from its path.
+
+    A column that a year's table does not have is null in its rows.
+    """
+    tables = [read_wide_csv(spark, p, year_of(p)) for p in paths]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 def append_predictions(df: DataFrame, path: str) -> None:
     """Add predictions to the JSON-lines log."""
     columns = [f.name for f in PREDICTION_LOG.fields]
