@@ -7,21 +7,23 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldlens.session import cut_lineage, ensure_checkpoint_dir
+from fieldlens.session import BROADCAST_BYTES, cut_lineage, ensure_checkpoint_dir, measured
 
 # rows of a few numbers each: some tens of megabytes
 BROADCAST_ROWS = 500_000
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, weigh: Column | None = None) -> DataFrame:
-    """Cut the lineage of a narrow table and hint a broadcast if it has at most `rows` rows.
+    """Cut the lineage of a narrow table and hint a broadcast if it has at most `rows` rows and 64 MB, about.
 
     With arrays in it, `weigh` is the number of rows that a row counts for. A larger table is returned without the
     hint, so that the join shuffles both sides.
     """
     kept = cut_lineage(df)
     size = kept.agg(F.sum(F.lit(1) if weigh is None else 1 + weigh)).first()[0] or 0
-    return F.broadcast(kept) if size <= rows else kept
+    if size > rows or measured(kept)[1] > BROADCAST_BYTES:
+        return kept
+    return F.broadcast(kept)
 
 
 def stored(df: DataFrame) -> DataFrame:
