@@ -61,13 +61,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Checkpoint a derived lookup table and broadcast it only if it proves small.
+# what a broadcast may hold, about
+BROADCAST_BYTES = 64 << 20
 
-    The row count is checked on the written table; a larger table is returned without a hint,
-    so the join falls back to a shuffle join with AQE skew handling.
+
+def measured(df: DataFrame, max_rows: int | None = None) -> tuple[int, float]:
+    """Rows, counted up to one more than `max_rows`, and about their bytes: the mean of every 64th row as JSON."""
+    rows = df if max_rows is None else df.limit(max_rows + 1)
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    text = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    n, mean = rows.agg(F.count(F.lit(1)), F.avg(F.when(F.col("_row") % 64 == 0, text))).first()
+    return n, n * (mean or 0.0)
+
+
+def small_side(df: DataFrame, max_rows: int = 100_000, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Checkpoint a derived lookup table and broadcast it only if it proves small, in rows and in bytes.
+
+    Both are read off the written table; a larger table is returned without a hint, so the join falls back to a shuffle
+    join with AQE skew handling.
     """
     kept = cut_lineage(df)
-    if kept.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(kept)
-    return kept
+    rows, size = measured(kept, max_rows)
+    return F.broadcast(kept) if rows <= max_rows and size <= max_bytes else kept

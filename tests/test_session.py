@@ -2,7 +2,9 @@ from types import SimpleNamespace
 
 import pytest
 
-from fieldlens.session import ensure_checkpoint_dir, is_local
+from pyspark.sql import functions as F
+
+from fieldlens.session import ensure_checkpoint_dir, is_local, small_side
 
 
 def fake(master, named=None, current=None):
@@ -30,3 +32,12 @@ def test_the_named_folder_is_used():
 def test_a_local_master_gets_a_folder_of_its_own():
     assert is_local("local") and is_local("local[8]") and is_local("local[*]")
     assert "fieldlens-checkpoint-" in ensure_checkpoint_dir(fake("local[2]"))
+
+
+def test_wide_tables_are_not_broadcast(spark):
+    narrow = small_side(spark.range(1000))
+    wide = small_side(spark.range(1000).withColumn("x", F.sequence(F.lit(0), F.lit(500))), max_bytes=100_000)
+    many = small_side(spark.range(1000), max_rows=999)
+    hinted = [df._jdf.queryExecution().analyzed().toString().startswith("ResolvedHint") for df in (narrow, wide, many)]
+    assert hinted == [True, False, False]
+    assert small_side(spark.range(0)).count() == 0
