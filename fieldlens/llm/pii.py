@@ -153,7 +153,7 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
         float(digits[:1] or -1),
         float(len(set(digits))),
         float(luhn(digits)),
-        float(max((len(g.lstrip("0")) > 3 or int(g) > 255 for g in groups), default=False)),
+        float(max((len(g.lstrip("0")) > 3 or int(g.lstrip("0") or 0) > 255 for g in groups), default=False)),
         float(sum(c.isalpha() for c in span)),
         float(len(spelt)),
         float(len(spelt[-1])) if spelt else 0.0,
@@ -407,14 +407,17 @@ def listed(spans):
     )
 
 
+def of_kind(spans, kind: int):
+    """How many spans are of a kind."""
+    # a second parameter of the lambda would be the place in the array
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = find_personal_data(docs, fit(docs))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-        for k, name in enumerate(KINDS)
-    ]
+    counts = [of_kind("base", k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", base.alias("base"), "spans").select(
         "doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans")
     )
