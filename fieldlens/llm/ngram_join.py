@@ -223,8 +223,8 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     """doc_id, n_shingles, component_id and text_key of every row: components of the links between sets of shingles.
 
     Two sets link when 100 * intersection >= percent * union. Texts with equal sets are one class and are not compared.
-    In rounds each class meets one of another component, that stands first among those of its length for most of its
-    first shingles, and what is linked becomes one component; then, for every shingle that classes of different components
+    In rounds each class meets some of other components, that stand first among those of its length for one of its first
+    shingles, and what is linked becomes one component; then, for every shingle that classes of different components
     still share, all pairs across these components that may have it as their first common one are tested. Pairs within a
     component need no test, so a large group of near copies costs what its rows cost.
 
@@ -264,16 +264,18 @@ def class_links(docs, rows: DataFrame, classes: DataFrame, levels: np.ndarray, k
     )
     postings = stored(postings)
     owners = classes.select("class", "owner")
-    links, turn = None, 0
+    links, placed, turn = None, postings.withColumn("root", F.col("class")), 0
     while True:
-        placed = postings.withColumn("root", F.col("class")) if links is None else contested(postings, links)
         star = stored(stars(placed, turn, percent))
         found = stored(linked(docs, star, owners, levels, k, percent))
+        joins = found.count()
         links = found if links is None else stored(links.union(found))
+        # components only grow: what is not contested now never will be
+        placed = contested(placed.drop("root"), links) if joins else placed
         turn += 1
-        if found.count() <= WORTHWHILE * star.count():
+        # the first turn is a narrow one and tells nothing of the next
+        if turn > 1 and joins <= WORTHWHILE * star.count():
             break
-    placed = contested(postings, links)
     pairs = stored(across(placed, percent))
     return links.union(linked(docs, pairs, owners, levels, k, percent))
 
@@ -282,32 +284,39 @@ def contested(postings: DataFrame, links: DataFrame) -> DataFrame:
     """Postings of shingles that classes of different components share, with the root of the class's component."""
     root = broadcast_if_small(components(links).withColumnRenamed("node", "class"))
     placed = postings.join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    ends = placed.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    return stored(placed.join(ends.filter("least < most").select("shingle"), "shingle"))
+    over = Window.partitionBy("shingle")
+    placed = placed.withColumns({"least": F.min("root").over(over), "most": F.max("root").over(over)})
+    return stored(placed.filter("least < most").drop("least", "most"))
 
 
 def stars(placed: DataFrame, turn: int, percent: int) -> DataFrame:
-    """One candidate per class: of another component, and at the hub of most of its first shingles.
+    """Candidates between each class and hubs of its first shingles that are of other components.
 
-    Each shingle and band of lengths has two hubs of different components; which ones changes from turn to turn.
+    Each shingle and band of lengths has two hubs of different components, so there are no more candidates than postings.
+    In the first turn, where most are left, all shingles of a class prefer the same hub and one candidate per class is
+    kept, the hub of most of its shingles. Then hubs change from shingle to shingle, and all that may link are kept.
     """
     group = Window.partitionBy("shingle", "band")
-    place = F.col("class") if not turn else F.xxhash64(F.lit(turn), "class")
+    place = F.xxhash64(F.lit(turn), "shingle", "class") if turn else F.col("class")
     hub = F.struct(place.alias("place"), "class", "n", "root")
     met = placed.withColumn("one", F.min(hub).over(group))
     met = met.withColumn("two", F.min(F.when(F.col("root") != F.col("one.root"), hub)).over(group))
     met = met.withColumn("hub", F.when(F.col("root") != F.col("one.root"), F.col("one")).otherwise(F.col("two")))
-    star = met.filter("hub is not null").groupBy("class", "n", "hub").agg(F.count("*").alias("shares"))
-    star = star.groupBy("class", "n").agg(F.max(F.struct("shares", "hub")).alias("best")).select("class", "n", "best.*")
+    met = met.filter("hub is not null")
+    if not turn:
+        met = met.groupBy("class", "n", "hub").agg(F.count("*").alias("shares"))
+        met = met.groupBy("class", "n").agg(F.max(F.struct("shares", "hub")).alias("best")).select("class", "n", "best.*")
     first = F.col("class") < F.col("hub.class")
-    star = star.select(
-        "shares",
+    star = met.select(
+        *([] if turn else ["shares"]),
         F.least("class", "hub.class").alias("a"),
         F.greatest("class", "hub.class").alias("b"),
         F.when(first, F.col("n")).otherwise(F.col("hub.n")).alias("n_a"),
         F.when(first, F.col("hub.n")).otherwise(F.col("n")).alias("n_b"),
-    )
-    return star.filter(_in_length(percent) & _may_link(percent)).drop("shares").distinct()
+    ).filter(_in_length(percent))
+    if turn:
+        return _sharing(star.distinct(), placed, percent)
+    return star.filter(_may_link(percent)).drop("shares").distinct()
 
 
 def across(placed: DataFrame, percent: int) -> DataFrame:
@@ -317,12 +326,19 @@ def across(placed: DataFrame, percent: int) -> DataFrame:
     side = lambda df, x: df.withColumnsRenamed({c: f"{c}_{x}" for c in df.columns if c != "shingle"})
     in_reach = (F.col("n_a") <= F.col("reach_b")) & (F.col("n_b") <= F.col("reach_a"))
     meet = side(roots, "a").join(side(roots, "b"), "shingle").filter((F.col("root_a") < F.col("root_b")) & in_reach)
-    meet = meet.select("shingle", "root_a", "root_b")
+    # members that pass for none of the other component are not paired
+    ends = {f"{c}_{x}": f"{c}_of_{x}" for c in ("n", "reach") for x in "ab"}
+    fits = lambda x, y: (F.col(f"n_{x}") <= F.col(f"reach_of_{y}")) & (F.col(f"n_of_{y}") <= F.col(f"reach_{x}"))
+    meet = meet.withColumnsRenamed(ends)
     members = placed.drop("band")
-    a, b = side(members, "a"), side(members, "b")
-    pairs = meet.join(a, ["shingle", "root_a"]).join(b, ["shingle", "root_b"]).filter(in_reach)
+    pairs = meet.join(side(members, "a"), ["shingle", "root_a"]).filter(fits("a", "b"))
+    pairs = pairs.join(side(members, "b"), ["shingle", "root_b"]).filter(fits("b", "a") & in_reach)
     pairs = pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "n_a", "n_b")
-    pairs = pairs.distinct()
+    return _sharing(pairs.distinct(), placed, percent)
+
+
+def _sharing(pairs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) of classes of different components that share enough first shingles to link."""
     # all first shingles that a pair of different components shares are in `placed`
     own = stored(placed.groupBy("class").agg(F.collect_set("shingle").alias("own")))
     pairs = pairs.join(own.withColumnsRenamed({"class": "a", "own": "own_a"}), "a")

@@ -292,3 +292,23 @@ def test_rows_that_share_an_id_own_their_texts(spark):
     rows = [(7, texts[0]), (7, texts[3]), (9, texts[1]), (8, texts[2]), (7, texts[0])]
     found = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(7, 7), (7, 7), (7, 7), (8, 7), (9, 7)]
+
+
+def test_a_group_of_near_copies_is_not_tested_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(11)
+    base, rows = [f"w{i}" for i in range(140)], []
+    for i in range(240):
+        words = list(base)
+        for j in rng.sample(range(len(words)), rng.randrange(1, 4)):
+            words[j] = f"other{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    tested, linked = [], ngram_join.linked
+
+    def counted(docs, pairs, *rest):
+        tested.append(pairs.count())
+        return linked(docs, pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "linked", counted)
+    found = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert by_id(found, "n_shingles", "component_id") == brute.components(rows)
+    assert sum(tested) < len(rows) ** 2 // 5
