@@ -8,7 +8,7 @@ also in other spellings put in their place, and all other proposals are countere
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -26,14 +26,14 @@ from fieldlens.llm.shared import documents
 from fieldlens.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
-# texts that the trees learn from, drawn by a hash of the text; all texts if there are fewer
-TRAIN_TEXTS = 40_000
 TREES, DEPTH = 20, 4
 # a span is added if so large a share of held-out examples with its score or a higher one is right
 CONFIDENCE = 0.98
 # held-out examples and counterexamples that a threshold needs
 SEEN = 30
 AROUND = 24
+# examples that a task holds at once
+EXAMPLE_ROWS = 2_000
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -195,24 +195,22 @@ def overlaps(a, b) -> bool:
     return a[1] < b[2] and b[1] < a[2]
 
 
-def examples(text: str) -> list[tuple[int, int, list[float]]]:
+def examples(text: str) -> Iterator[tuple[int, int, list[float]]]:
     """(kind, label, features): fixed formats, each in one other spelling too, and the proposals that touch none."""
     base = base_spans(text)
-    out = []
     for k, a, b in base:
-        out.append((k, 1, features(text, k, a, b)))
+        yield k, 1, features(text, k, a, b)
         other = respelt(k, text[a:b], a)
         near = text[max(0, a - AROUND) : a]
         changed = near + other + text[b : b + AROUND]
-        out.append((k, 1, features(changed, k, len(near), len(near) + len(other))))
+        yield k, 1, features(changed, k, len(near), len(near) + len(other))
     taken = sorted((a, b) for _, a, b in base)
     starts = np.array([a for a, _ in taken])
     reach = np.maximum.accumulate([b for _, b in taken]) if taken else np.zeros(0)
     for p in proposals(text):
         i = int(np.searchsorted(starts, p[2]))
         if not i or reach[i - 1] <= p[1]:
-            out.append((p[0], 0, features(text, *p)))
-    return out
+            yield p[0], 0, features(text, *p)
 
 
 @dataclass(frozen=True)
@@ -263,6 +261,25 @@ def _arrays(model) -> dict:
     }
 
 
+def pooled(rows) -> list[list]:
+    """Isotonic regression of (margin, examples, right ones), margins rising: neighbours are pooled until shares rise.
+
+    Pools of parts that are pooled again are those of the whole.
+    """
+    pools = []
+    for row in rows:
+        pools.append(list(row))
+        while len(pools) > 1 and pools[-2][2] * pools[-1][1] >= pools[-1][2] * pools[-2][1]:
+            _, n, s = pools.pop()
+            pools[-1][1] += n
+            pools[-1][2] += s
+    return pools
+
+
+def surest(pools: list, confidence: float = CONFIDENCE, seen: int = SEEN) -> float:
+    return next((float(v) for v, n, s in pools if s >= confidence * n and n >= seen), math.inf)
+
+
 def least_margin(margin: np.ndarray, label: np.ndarray, confidence: float = CONFIDENCE, seen: int = SEEN) -> float:
     """The least margin whose calibrated probability reaches `confidence`.
 
@@ -270,24 +287,15 @@ def least_margin(margin: np.ndarray, label: np.ndarray, confidence: float = CONF
     margin. Where fewer than `seen` examples are that sure nothing is sure enough.
     """
     values, first = np.unique(margin, return_inverse=True)
-    pools = []
-    for v, n, s in zip(values, np.bincount(first), np.bincount(first, label), strict=True):
-        pools.append([v, n, s])
-        while len(pools) > 1 and pools[-2][2] * pools[-1][1] >= pools[-1][2] * pools[-2][1]:
-            _, n2, s2 = pools.pop()
-            pools[-1][1] += n2
-            pools[-1][2] += s2
-    return next((float(v) for v, n, s in pools if s >= confidence * n and n >= seen), math.inf)
+    return surest(pooled(zip(values, np.bincount(first), np.bincount(first, label), strict=True)), confidence, seen)
 
 
-def fit(docs: DataFrame, texts: int = TRAIN_TEXTS, text: str = "text") -> Trees | None:
-    """Learn from about `texts` texts; None if they give no examples of both labels.
+def fit(docs: DataFrame, text: str = "text") -> Trees | None:
+    """Learn from all texts; None if they give no examples of both labels.
 
-    Three quarters of the texts grow the trees, the rest calibrates them. Equal texts are drawn alike.
+    Three quarters of the texts grow the trees, the rest calibrates them. Equal texts are on one side.
     """
-    share = min(1.0, texts / max(1, docs.count()))
-    place = F.pmod(F.xxhash64(F.lit(29), F.col(text)), F.lit(1 << 30)) / (1 << 30)
-    drawn = docs.select(F.col(text).alias("text")).filter(F.col("text").isNotNull() & (place < share))
+    drawn = docs.select(F.col(text).alias("text")).filter(F.col("text").isNotNull())
     drawn = drawn.select((F.pmod(F.xxhash64(F.lit(31), "text"), F.lit(4)) == 0).alias("held"), "text")
     schema = pa.schema([("held", pa.bool_()), ("kind", pa.int32()), ("label", pa.float64()),
                         ("x", pa.list_(pa.float64()))])
@@ -295,12 +303,13 @@ def fit(docs: DataFrame, texts: int = TRAIN_TEXTS, text: str = "text") -> Trees
     def extract(batches):
         for batch in batches:
             for piece in tokens.pieces(batch):
-                rows = [
+                rows = (
                     {"held": held, "kind": k, "label": float(label), "x": x}
                     for held, t in zip(piece.column("held").to_pylist(), piece.column("text").to_pylist(), strict=True)
                     for k, label, x in examples(t)
-                ]
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                )
+                while some := list(itertools.islice(rows, EXAMPLE_ROWS)):
+                    yield pa.RecordBatch.from_pylist(some, schema=schema)
 
     rows = cut_lineage(drawn.mapInArrow(extract, "held boolean, kind int, label double, x array<double>"))
     grow = rows.filter(~F.col("held")).withColumn("features", array_to_vector("x"))
@@ -308,17 +317,43 @@ def fit(docs: DataFrame, texts: int = TRAIN_TEXTS, text: str = "text") -> Trees
         return None
     booster = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=64, stepSize=0.2, minInstancesPerNode=5, seed=7)
     trees = _arrays(booster.fit(grow.select("features", "label")))
-    # a few numbers for each held-out example of the sample
-    held = rows.filter("held").select("kind", "label", "x").toArrow()
-    kind, label = held.column("kind").to_numpy(), held.column("label").to_numpy()
-    x = held.column("x").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
-    margin = Trees(**trees, least=()).margin(x)
+    return Trees(**trees, least=thresholds(rows.filter("held"), Trees(**trees, least=())))
+
+
+def thresholds(held: DataFrame, trees: Trees) -> tuple[float, ...]:
+    """The least margin that is added, by kind, from held-out examples (kind, label, x).
+
+    Tasks pool ranges of margins. Shares of pools rise, so there are far fewer pools than examples.
+    """
+
+    def judge(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy().reshape(-1, WIDTH)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("kind"), batch.column("label"), pa.array(trees.margin(x))], ["kind", "label", "margin"]
+                )
+
+    def pool(batches):
+        rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        for of, own in itertools.groupby(rows, lambda r: r[0]):
+            pools = [[of, *p] for p in pooled(r[1:] for r in own)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pools, strict=True)], ["of", "margin", "n", "s"])
+
+    everything = len(KINDS)
+    judged = held.select("kind", "label", "x").mapInArrow(judge, "kind int, label double, margin double")
+    judged = judged.withColumn("of", F.explode(F.array("kind", F.lit(everything))))
+    counted = judged.groupBy("of", "margin").agg(F.count("*").alias("n"), F.sum("label").alias("s"))
+    counted = counted.select(F.col("of").cast("long"), "margin", "n", "s")
+    counted = cut_lineage(counted).repartitionByRange("of", "margin").sortWithinPartitions("of", "margin")
+    found = [[] for _ in range(everything + 1)]
+    for r in sorted(counted.mapInArrow(pool, "of long, margin double, n long, s double").collect()):
+        found[r["of"]].append(r[1:])
+    own = [surest(pooled(rows)) for rows in found]
+    wrong = [sum(n - s for _, n, s in rows) for rows in found]
     # a kind with few counterexamples of its own has to pass those of all kinds as well
-    least = [least_margin(margin[kind == k], label[kind == k]) for k in range(len(KINDS))]
-    scarce = [(label[kind == k] == 0).sum() < SEEN for k in range(len(KINDS))]
-    whole = least_margin(margin, label) if (label == 0).sum() >= SEEN else math.inf
-    least = tuple(max(own, whole) if few else own for own, few in zip(least, scarce, strict=True))
-    return Trees(**trees, least=least)
+    whole = own[everything] if wrong[everything] >= SEEN else math.inf
+    return tuple(max(own[k], whole) if wrong[k] < SEEN else own[k] for k in range(everything))
 
 
 def added_spans(texts: list[str], base: list[list], model: Trees) -> list[list[tuple[int, int, int]]]:

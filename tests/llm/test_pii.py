@@ -134,3 +134,18 @@ def test_query_counts_each_kind(spark, tmp_path):
         assert [found[i][f"n_{k}"] for k in pii.KINDS] == [len(want[k]) for k in pii.KINDS], text
         named = ",".join(f"{k}:{a}:{b}" for k in pii.KINDS for a, b in want[k])
         assert found[i].base_sha256 == hashlib.sha256(named.encode()).hexdigest()
+
+
+def test_trees_learn_from_all_texts(spark):
+    # of many texts few have an address: a part of them would not give as many examples as a threshold needs
+    rare = F.when(F.col("id") % 1100 == 0, F.concat(F.lit("write to me"), "id", F.lit("@ex.org now")))
+    other = F.when(F.col("id") % 500 == 1, F.concat(F.lit("order no. "), F.col("id") + 10**13, F.lit(" of")))
+    docs = spark.range(110_000).select(F.coalesce(rare, other, F.concat(F.lit("text "), "id")).alias("text"))
+    assert math.isfinite(pii.fit(docs).least[0])
+
+
+def test_pools_of_parts_are_those_of_the_whole():
+    rng = np.random.default_rng(4)
+    rows = [(float(i), 3, int(rng.binomial(3, i / 300))) for i in range(300)]
+    parts = [p for at in range(0, 300, 70) for p in pii.pooled(rows[at : at + 70])]
+    assert pii.pooled(parts) == pii.pooled(rows)
