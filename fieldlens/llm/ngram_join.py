@@ -29,6 +29,8 @@ MIN_CELL_BITS, MAX_CELL_BITS = 14, 24
 WORTHWHILE = 0.1
 WORDS_PER_CELL = 8
 SKETCH_PARTS = 64
+# numbers of wanted texts that are broadcast: a long each
+MARKS = 2_000_000
 
 
 def shingles(piece: pa.RecordBatch, k: int) -> list[np.ndarray]:
@@ -61,7 +63,7 @@ def shingle_levels(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
                 total[cell] = np.minimum(total[cell] + n, 0xFFFF)
         if total.any():
             press = zstandard.ZstdCompressor(level=1)
-            parts = [press.compress(p.tobytes()) for p in np.split(total, SKETCH_PARTS)]
+            parts = [press.compress(_pack(p)) for p in np.split(total, SKETCH_PARTS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts)], ["part", "data"])
 
     def add(batches):
@@ -73,7 +75,7 @@ def shingle_levels(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
                     if part is not None:
                         yield _sum_row(part, total)
                     part, total = name, np.zeros((1 << bits) // SKETCH_PARTS, np.int64)
-                total += np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_py()), np.uint16)
+                _add_packed(total, zstandard.ZstdDecompressor().decompress(data.as_py()))
         if part is not None:
             yield _sum_row(part, total)
 
@@ -99,6 +101,17 @@ def shingle_levels(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
     return levels
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """Which counts are not 0, a bit each, and those: most are 0, and most others 1."""
+    return np.packbits(counts > 0).tobytes() + counts[counts > 0].tobytes()
+
+
+def _add_packed(total: np.ndarray, data: bytes) -> None:
+    bits = len(total) // 8
+    there = np.unpackbits(np.frombuffer(data, np.uint8, bits)).view(bool)
+    total[there] += np.frombuffer(data, np.uint16, offset=bits)
+
+
 def _sum_row(part: int, total: np.ndarray) -> pa.RecordBatch:
     columns = [pa.array([part], pa.int32()), pa.array([int(total.sum())], pa.int64()), pa.array([total.tobytes()])]
     return pa.RecordBatch.from_arrays(columns, ["part", "total", "data"])
@@ -146,25 +159,27 @@ def text_key():
     return F.xxhash64("text").alias("text_key")
 
 
-def segments(docs: DataFrame, wanted: DataFrame, levels: np.ndarray, k: int) -> DataFrame:
-    """class, fragment and shingles of the wanted classes (class, owner: id and key of a text that has it).
+def segments(docs: DataFrame, wanted: DataFrame, owners: DataFrame, levels: np.ndarray, k: int) -> DataFrame:
+    """class, fragment and shingles of the wanted classes (class), from the text that owns each (owners: class, owner).
 
     The last fragment holds the frequent shingles, which come last in the order; the others are ranges of hashes.
+    Some rows may come twice, and some of other classes, if rows repeat an id and a text or hashes of these clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    own = wanted.groupBy(F.col("owner.doc_id").alias("_id"), F.col("owner.text_key").alias("_key"))
-    own = broadcast_if_small(own.agg(F.collect_set("class").alias("wanted")))
-    texts = docs.select("doc_id", "text", text_key())
-    texts = texts.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    # a number per text, so that texts need not be shuffled however many are wanted
+    mark = lambda doc_id, key: F.xxhash64(doc_id, key).alias("mark")
+    marks = wanted.distinct().join(owners, "class").select(mark("owner.doc_id", "owner.text_key"))
+    texts = docs.select("text", mark("doc_id", text_key()))
+    texts = texts.join(broadcast_if_small(marks.distinct(), MARKS), "mark", "left_semi")
 
     def cut(batches):
         for batch in batches:
             for piece in tokens.pieces(batch):
                 rows = {"class": [], "fragment": [], "part": []}
-                for found, asked in zip(shingles(piece, k), piece.column("wanted").to_pylist(), strict=True):
-                    name = class_of(found) if len(found) else None
-                    if name not in asked:
+                for found in shingles(piece, k):
+                    if not len(found):
                         continue
+                    name = class_of(found)
                     ranges = (found >> np.uint64(40)).astype(np.int64) * (FRAGMENTS - 1) >> 24
                     fragment = np.where(level_of(found, shared.value) > 0, FRAGMENTS - 1, ranges)
                     for f in np.unique(fragment).tolist():
@@ -176,16 +191,18 @@ def segments(docs: DataFrame, wanted: DataFrame, levels: np.ndarray, k: int) ->
                      pa.array(rows["part"], pa.list_(pa.int64()))], ["class", "fragment", "part"]
                 )
 
-    return texts.select("text", "wanted").mapInArrow(cut, "class long, fragment int, part array<long>")
+    return texts.select("text").mapInArrow(cut, "class long, fragment int, part array<long>")
 
 
 def linked(docs: DataFrame, pairs: DataFrame, owners: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) of classes whose overlap, summed over the fragments, reaches the threshold."""
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(owners, "class")
-    parts = stored(segments(docs, wanted, levels, k))
-    left = parts.withColumnsRenamed({"class": "a", "part": "part_a"})
-    right = parts.withColumnsRenamed({"class": "b", "part": "part_b"})
-    both = pairs.join(left, "a").join(right, ["b", "fragment"])
+    """The pairs (a, b, n_a, n_b) of classes whose overlap, summed over the fragments, reaches the threshold.
+
+    The set of b goes to that of a, once per pair, and a's goes once; neither is written or shuffled in between.
+    """
+    pairs = broadcast_if_small(pairs)
+    cut = lambda x: segments(docs, pairs.select(F.col(x).alias("class")), owners, levels, k)
+    sent = cut("b").withColumnsRenamed({"class": "b", "part": "part_b"}).join(pairs, "b")
+    both = sent.join(cut("a").withColumnsRenamed({"class": "a", "part": "part_a"}), ["a", "fragment"])
     counted = both.withColumn("overlap", F.size(F.array_intersect("part_a", "part_b")))
     # rows that repeat an id and a text give the same segments again
     each = counted.groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max("overlap").alias("overlap"))
@@ -257,44 +274,48 @@ def class_links(docs, rows: DataFrame, classes: DataFrame, levels: np.ndarray, k
     keys = rows.filter("n > 0").join(mine, (F.col("class") == F.col("_class")) & (F.col("row") == F.col("_row")))
     postings = keys.select("class", "n", F.posexplode("first").alias("place", "shingle")).repartition("shingle")
     band = F.floor(F.log(F.col("n")) / np.log(100 / percent)).cast("int")
-    over = Window.partitionBy("shingle")
-    postings = postings.withColumns({"least": F.min("class").over(over), "most": F.max("class").over(over)})
-    postings = postings.filter("least < most").select(
-        "shingle", "class", "n", band.alias("band"), _reach(percent).alias("reach")
+    postings = postings.select(
+        "shingle", "class", "n", band.alias("band"), _reach(percent).alias("reach"), F.col("class").alias("root")
     )
-    postings = stored(postings)
     owners = classes.select("class", "owner")
-    links, placed, turn = None, postings.withColumn("root", F.col("class")), 0
+    links, placed, turn = None, stored(with_hubs(contested(postings), 0)), 0
     while True:
         star = stored(stars(placed, turn, percent))
         found = stored(linked(docs, star, owners, levels, k, percent))
         joins = found.count()
         links = found if links is None else stored(links.union(found))
-        # components only grow: what is not contested now never will be
-        placed = contested(placed.drop("root"), links) if joins else placed
         turn += 1
         # the first turn is a narrow one and tells nothing of the next
-        if turn > 1 and joins <= WORTHWHILE * star.count():
+        last = turn > 1 and joins <= WORTHWHILE * star.count()
+        # components only grow: what is not contested now never will be
+        if joins or not last:
+            placed = contested(rooted(placed.drop("root", "hub"), links).repartition("shingle"))
+        if last:
             break
-    pairs = stored(across(placed, percent))
+        placed = stored(with_hubs(placed, turn))
+    pairs = stored(across(stored(placed) if joins else placed, percent))
     return links.union(linked(docs, pairs, owners, levels, k, percent))
 
 
-def contested(postings: DataFrame, links: DataFrame) -> DataFrame:
-    """Postings of shingles that classes of different components share, with the root of the class's component."""
+def rooted(postings: DataFrame, links: DataFrame) -> DataFrame:
+    """Postings with the root of the class's component."""
     root = broadcast_if_small(components(links).withColumnRenamed("node", "class"))
-    placed = postings.join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    return postings.join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+
+def contested(placed: DataFrame) -> DataFrame:
+    """Postings of shingles that classes of different components share, sorted by band; they come dealt by shingle."""
     over = Window.partitionBy("shingle")
+    placed = placed.sortWithinPartitions("shingle", "band")
     placed = placed.withColumns({"least": F.min("root").over(over), "most": F.max("root").over(over)})
-    return stored(placed.filter("least < most").drop("least", "most"))
+    return placed.filter("least < most").drop("least", "most")
 
 
-def stars(placed: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Candidates between each class and hubs of its first shingles that are of other components.
+def with_hubs(placed: DataFrame, turn: int) -> DataFrame:
+    """Add the hub (class, n, root) that a class meets for its shingle: one of another component, or null.
 
-    Each shingle and band of lengths has two hubs of different components, so there are no more candidates than postings.
-    In the first turn, where most are left, all shingles of a class prefer the same hub and one candidate per class is
-    kept, the hub of most of its shingles. Then hubs change from shingle to shingle, and all that may link are kept.
+    Each shingle and band of lengths has two hubs of different components. In the first turn all shingles of a class
+    prefer the same hub; then hubs change from shingle to shingle. Behind `contested` this takes no shuffle or sort.
     """
     group = Window.partitionBy("shingle", "band")
     place = F.xxhash64(F.lit(turn), "shingle", "class") if turn else F.col("class")
@@ -302,7 +323,16 @@ def stars(placed: DataFrame, turn: int, percent: int) -> DataFrame:
     met = placed.withColumn("one", F.min(hub).over(group))
     met = met.withColumn("two", F.min(F.when(F.col("root") != F.col("one.root"), hub)).over(group))
     met = met.withColumn("hub", F.when(F.col("root") != F.col("one.root"), F.col("one")).otherwise(F.col("two")))
-    met = met.filter("hub is not null")
+    return met.withColumn("hub", F.col("hub").dropFields("place")).drop("one", "two")
+
+
+def stars(placed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Candidates between each class and the hubs of its first shingles: no more than there are postings.
+
+    In the first turn, where most are left, one candidate per class is kept, the hub of most of its shingles. Then all
+    that may link are kept.
+    """
+    met = placed.filter("hub is not null")
     if not turn:
         met = met.groupBy("class", "n", "hub").agg(F.count("*").alias("shares"))
         met = met.groupBy("class", "n").agg(F.max(F.struct("shares", "hub")).alias("best")).select("class", "n", "best.*")
@@ -330,7 +360,7 @@ def across(placed: DataFrame, percent: int) -> DataFrame:
     ends = {f"{c}_{x}": f"{c}_of_{x}" for c in ("n", "reach") for x in "ab"}
     fits = lambda x, y: (F.col(f"n_{x}") <= F.col(f"reach_of_{y}")) & (F.col(f"n_of_{y}") <= F.col(f"reach_{x}"))
     meet = meet.withColumnsRenamed(ends)
-    members = placed.drop("band")
+    members = placed.drop("band", "hub")
     pairs = meet.join(side(members, "a"), ["shingle", "root_a"]).filter(fits("a", "b"))
     pairs = pairs.join(side(members, "b"), ["shingle", "root_b"]).filter(fits("b", "a") & in_reach)
     pairs = pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "n_a", "n_b")
@@ -341,7 +371,7 @@ def _sharing(pairs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, n_a, n_b) of classes of different components that share enough first shingles to link."""
     # all first shingles that a pair of different components shares are in `placed`
     own = stored(placed.groupBy("class").agg(F.collect_set("shingle").alias("own")))
-    pairs = pairs.join(own.withColumnsRenamed({"class": "a", "own": "own_a"}), "a")
+    pairs = broadcast_if_small(pairs).join(own.withColumnsRenamed({"class": "a", "own": "own_a"}), "a")
     pairs = pairs.join(own.withColumnsRenamed({"class": "b", "own": "own_b"}), "b")
     pairs = pairs.withColumn("shares", F.size(F.array_intersect("own_a", "own_b"))).drop("own_a", "own_b")
     return pairs.filter(_may_link(percent)).drop("shares")

@@ -1,5 +1,7 @@
 """Line dedup, n-gram join, substring dedup and decontamination against plain versions."""
 
+import contextlib
+import io
 import random
 
 import numpy as np
@@ -312,3 +314,65 @@ def test_a_group_of_near_copies_is_not_tested_pair_by_pair(spark, monkeypatch):
     found = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert by_id(found, "n_shingles", "component_id") == brute.components(rows)
     assert sum(tested) < len(rows) ** 2 // 5
+
+
+def shuffles(df):
+    """The lines of the plan that shuffle by a key."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return [line for line in out.getvalue().split("\n") if "Exchange hashpartitioning(" in line]
+
+
+def test_sets_are_shuffled_once_and_never_written(spark, monkeypatch):
+    texts = near_copies(3, 12, 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    levels = ngram_join.shingle_levels(docs)
+    rows = ngram_join.set_rows(docs, levels, 5, 75)
+    classes = rows.select("class", F.struct("doc_id", "text_key").alias("owner"), "n").distinct()
+    side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"))
+    pairs = side("a").join(side("b"), F.col("a") < F.col("b"))
+    assert pairs.count() > 30
+    written = []
+    monkeypatch.setattr(ngram_join, "stored", lambda df: written.append(df) or df)
+    # tables too large for Spark to broadcast by itself
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ngram_join.linked(docs, pairs, classes.select("class", "owner"), levels, 5, 75)
+        moved = shuffles(found)
+        expected = {(a, b) for a, b in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not written
+    # either side of the join by class and fragment; the last two hold numbers of pairs
+    with_parts = [x for x in moved if not ("n_a" in x and "n_b" in x)]
+    assert len(with_parts) == 2 and all("fragment" in x for x in with_parts)
+    sets = {r["class"]: set(x) for r in rows.collect() for x in [shingle_set(texts[r.doc_id])]}
+    near = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+    assert expected == {(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])} and expected
+
+
+def shingle_set(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_hubs_come_with_the_postings(spark):
+    rows = [(1, 10, 40, 0, 50, 10), (1, 11, 40, 0, 50, 11), (1, 12, 41, 0, 50, 11), (2, 10, 40, 0, 50, 10), (2, 13, 40, 0, 50, 10)]
+    rows += [(3, 11, 40, 0, 50, 11), (3, 13, 90, 1, 99, 10)]
+    schema = "shingle long, class long, n long, band int, reach long, root long"
+    placed = ngram_join.contested(spark.createDataFrame(rows, schema).repartition("shingle"))
+    assert {r.shingle for r in placed.collect()} == {1, 3}
+    met = ngram_join.with_hubs(placed, 0)
+    assert len(shuffles(met)) == 1
+    got = {(r.shingle, r["class"]): r.hub and tuple(r.hub) for r in met.collect()}
+    assert got == {(1, 10): (11, 40, 11), (1, 11): (10, 40, 10), (1, 12): (10, 40, 10), (3, 11): None, (3, 13): None}
+
+
+def test_counts_of_the_sketch_are_packed_without_loss():
+    rng = np.random.default_rng(2)
+    counts = np.where(rng.random(4096) < 0.2, rng.integers(1, 65536, 4096), 0).astype(np.uint16)
+    total = np.arange(4096)
+    ngram_join._add_packed(total, ngram_join._pack(counts))
+    assert (total == np.arange(4096) + counts).all()
+    assert len(ngram_join._pack(counts)) < counts.nbytes // 3
