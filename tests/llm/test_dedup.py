@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlens.llm import decontaminate, line_dedup, ngram_join, substring_dedup
+from fieldlens.llm import decontaminate, graph, line_dedup, ngram_join, substring_dedup
 from fieldlens.llm.graph import components
 from fieldlens.llm.shared import shared_folder
 from tests.llm import brute
@@ -127,6 +127,51 @@ def test_components_of_long_paths(spark):
     assert {r.node: r.root for r in found.collect()} == expected
 
 
+@pytest.mark.parametrize("rows", [0, 500_000])
+def test_components_do_not_depend_on_tasks_or_broadcasts(spark, monkeypatch, rows):
+    monkeypatch.setattr(graph, "EDGES", 7)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", rows)
+    rng = random.Random(4)
+    edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(90)] + [(300, k) for k in range(301, 330)]
+    expected = brute_roots(edges)
+    assert len(set(expected.values())) > 10
+    found = components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.root for r in found.collect()} == expected
+    assert components(spark.createDataFrame([(3, 3)], "a long, b long")).collect() == []
+
+
+def brute_roots(edges):
+    root = {x: x for a, b in edges if a != b for x in (a, b)}
+    while True:
+        better = [(x, min(root[a], root[b])) for a, b in edges if a != b for x in (a, b) if root[x] > min(root[a], root[b])]
+        if not better:
+            return root
+        for x, least in better:
+            root[x] = min(root[x], least)
+
+
+def test_rounds_on_few_edges_take_few_tasks(spark):
+    # tasks per shuffle partition in every round, each with files, filled the disk where partitions were many
+    settings = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    context = spark.sparkContext
+    edges = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few edges", "")
+        found = {r.node: r.root for r in components(edges).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == dict.fromkeys(range(201), 0)
+    told = context.statusTracker()
+    stages = {s for job in told.getJobIdsForGroup("few edges") for s in told.getJobInfo(job).stageIds}
+    # the given edges are put together once in all partitions
+    assert sum(told.getStageInfo(s).numCompletedTasks for s in stages if told.getStageInfo(s)) < 6 * 61
+
+
 # --- passages --------------------------------------------------------------------------
 
 
